@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_dedup, mixing
 
 QUERIES = {
+    "op3_line_dedup": line_dedup.query,
     "op10_source_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op3_line_dedup": line_dedup.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }
