@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, simhash
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.query,
     "op3_line_dedup": line_dedup.query,
     "op10_source_mixing": mixing.query,
 }
