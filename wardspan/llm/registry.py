@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, simhash
+from . import bpe, line_dedup, mixing, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_bpe": bpe.query,
     "op10_source_mixing": mixing.query,
 }
 
