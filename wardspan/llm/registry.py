@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, simhash
+from . import bpe, line_dedup, mixing, quality, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op3_line_dedup": line_dedup.query,
     "op4_bpe": bpe.query,
+    "op6_quality_classifier": quality.query,
     "op10_source_mixing": mixing.query,
 }
 
