@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, quality, simhash
+from . import bpe, html_text, line_dedup, mixing, quality, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
+    "op2_html_text": html_text.query,
     "op3_line_dedup": line_dedup.query,
     "op4_bpe": bpe.query,
     "op6_quality_classifier": quality.query,
