@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, line_dedup, mixing, quality, simhash
+from . import bpe, html_text, line_dedup, mixing, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op4_bpe": bpe.query,
     "op6_quality_classifier": quality.query,
+    "op8_secret_links": secrets.query,
     "op10_source_mixing": mixing.query,
 }
 
