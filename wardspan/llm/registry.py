@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, line_dedup, mixing, quality, secrets, simhash
+from . import bpe, digest, html_text, line_dedup, mixing, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.query,
     "op6_quality_classifier": quality.query,
     "op8_secret_links": secrets.query,
+    "op9_quartile_digest": digest.query,
     "op10_source_mixing": mixing.query,
 }
 
