@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, digest, html_text, line_dedup, mixing, quality, secrets, simhash
+from . import bpe, digest, html_text, line_dedup, lm, mixing, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op4_bpe": bpe.query,
     "op6_quality_classifier": quality.query,
+    "op7_lm_score": lm.query,
     "op8_secret_links": secrets.query,
     "op9_quartile_digest": digest.query,
     "op10_source_mixing": mixing.query,
