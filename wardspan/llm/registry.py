@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, digest, html_text, line_dedup, lm, mixing, quality, secrets, simhash
+from . import bpe, digest, html_text, line_dedup, lm, mixing, neighbours, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_html_text": html_text.query,
     "op3_line_dedup": line_dedup.query,
     "op4_bpe": bpe.query,
+    "op5_nn_descent": neighbours.query,
     "op6_quality_classifier": quality.query,
     "op7_lm_score": lm.query,
     "op8_secret_links": secrets.query,
