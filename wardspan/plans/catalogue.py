@@ -1,15 +1,619 @@
-"""Queries over the driver's tables, with SQL twins."""
+"""Queries over the driver's tables, each with an SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.compiler import BOOL, FLOAT, INT, STR, Kind, compile_text, list_kind
+from ..operators import checks, graph
+from ..operators.validate import coerce, issue_rows, key_string, split, validate
+from ..schema.model import Constraint
+from .tables import BINDINGS, bound, day, shop, table, target, text
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+WORDS = list_kind(STR)
+
+
+def add(name: str, sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+# Expressions: one value per row ---------------------------------------------------------------------------------------
+
+#: What expressions call the columns of each table: (column or SQL for Spark, kind).
+NAMES: dict[str, dict[str, tuple[str, Kind]]] = {
+    "nation": {"name": ("n_name", STR), "region": ("n_regionkey", INT), "key": ("n_nationkey", INT)},
+    "customer": {"name": ("c_name", STR), "balance": ("c_acctbal", FLOAT), "segment": ("c_mktsegment", STR), "nation": ("c_nationkey", INT), "odd": ("c_custkey % 2 = 1", BOOL), "gap": ("case when c_custkey % 3 <> 0 then c_acctbal end", FLOAT), "nick": ("case when c_custkey % 4 <> 0 then c_mktsegment end", STR), "whole": ("case when c_custkey % 5 <> 0 then c_nationkey end", INT)},
+    "part": {"name": ("p_name", STR), "size": ("p_size", INT), "price": ("p_retailprice", FLOAT), "brand": ("p_brand", STR), "words": ("split(p_name, ' ')", WORDS), "more": ("array(p_type, p_brand, p_type)", WORDS), "sizes": ("array(p_size, p_size % 7, 10 - p_size)", list_kind(INT)), "holes": ("array(p_name, case when p_size % 2 = 0 then p_type end)", WORDS), "nested": ("array(split(p_name, ' '), array(p_brand))", list_kind(WORDS))},
+    "lineitem": {"price": ("l_extendedprice", FLOAT), "quantity": ("l_quantity", FLOAT), "line": ("l_linenumber", INT), "part": ("l_partkey", INT), "supplier": ("l_suppkey", INT), "discount": ("l_discount", FLOAT)},
+}
+KEYS = {"nation": "n_nationkey", "customer": "c_custkey", "part": "p_partkey", "lineitem": "l_orderkey"}
+
+
+def expression_query(table_name: str, expression: str, result: str = "string") -> Query:
+    """k, v and failed for every row; a list comes as text, joined by a bar."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = compile_text(expression, {n: (F.expr(c), k) for n, (c, k) in NAMES[table_name].items()})
+        failed = v.error.isNotNull() if v.error is not None else F.lit(False)
+        value = v.value if v.kind.name != "list" else F.array_join(F.transform(v.value, lambda x: F.coalesce(x.cast("string"), F.lit("nil"))), "|")
+        return table(spark, sf_dir, table_name).select(F.col(KEYS[table_name]).cast("long").alias("k"), F.when(~failed, value).alias("v"), failed.alias("failed"))
+
+    return run
+
+
+def expressions(entries: list[tuple[str, str, str, str]]) -> None:
+    for name, table_name, expression, sql in entries:
+        QUERIES[name] = expression_query(table_name, expression)
+        value, _, failed = sql.partition(" FAILED ")
+        failed = failed or "false"
+        guarded = f"CASE WHEN NOT ({failed}) THEN {value} END" if failed != "false" else value
+        SQL[name] = f"SELECT {KEYS[table_name]}::BIGINT AS k, {guarded} AS v, {failed} AS failed FROM {table_name}"
+
+
+GAP = "(CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END)"
+NICK = "(CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END)"
+WHOLE = "(CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END)"
+SPLIT = "string_split(p_name, ' ')"
+MORE = "[p_type, p_brand, p_type]"
+SIZES = "[p_size, p_size % 7, 10 - p_size]"
+HOLES = "[p_name, CASE WHEN p_size % 2 = 0 THEN p_type END]"
+BAR = lambda s: f"array_to_string({s}, '|')"
+BARNIL = lambda s: f"array_to_string(list_transform({s}, lambda z: coalesce(z, 'nil')), '|')"
+
+expressions(
+    [
+        # Logic
+        ("op_and", "customer", "odd && balance > 0.0", "(c_custkey % 2 = 1) AND c_acctbal > 0"),
+        ("op_and_short_circuit", "customer", "odd && gap / 2.0 > 10.0", "CASE WHEN c_custkey % 2 <> 1 THEN false ELSE " + GAP + " / 2 > 10 END FAILED c_custkey % 2 = 1 AND c_custkey % 3 = 0"),
+        ("op_or", "customer", "odd || segment == \"BUILDING\"", "(c_custkey % 2 = 1) OR c_mktsegment = 'BUILDING'"),
+        ("op_xor", "customer", "odd ^ (balance > 1000.0)", "(c_custkey % 2 = 1) <> (c_acctbal > 1000)"),
+        ("op_not", "customer", "!odd", "NOT (c_custkey % 2 = 1)"),
+        ("op_ternary", "customer", "balance < 0.0 ? { \"debt\" : segment }", "CASE WHEN c_acctbal < 0 THEN 'debt' ELSE c_mktsegment END"),
+        ("op_ternary_without_else", "customer", "odd ? { 1 }", "NULL::BIGINT FAILED true"),
+        ("op_eq_nil", "customer", "gap == nil", GAP + " IS NULL"),
+        ("op_neq", "customer", "nick != segment", NICK + " IS DISTINCT FROM c_mktsegment"),
+        ("op_eq_cross_kind", "customer", "name == balance", "false"),
+        ("op_cmp_nil", "customer", "gap < 100.0", "CASE WHEN " + GAP + " IS NULL THEN true ELSE " + GAP + " < 100 END"),
+        ("op_cmp_cross_kind", "customer", "balance < name", "true"),
+        ("op_ge", "customer", "balance >= 5000.0", "c_acctbal >= 5000"),
+        ("op_le_int_float", "customer", "nation <= balance", "c_nationkey <= c_acctbal"),
+        ("op_in", "customer", "segment in [\"BUILDING\", \"MACHINERY\"]", "c_mktsegment IN ('BUILDING', 'MACHINERY')"),
+        ("op_match", "customer", "name =~ /0[13579]$/", "regexp_matches(c_name, '0[13579]$')"),
+        ("op_match_nil", "customer", "nick =~ /^B/", "regexp_matches(" + NICK + ", '^B') FAILED " + NICK + " IS NULL"),
+        ("op_not_match", "customer", "segment !~ /^[A-H]/", "NOT regexp_matches(c_mktsegment, '^[A-H]')"),
+        ("op_type_match", "customer", "balance =~ Integer", "c_acctbal = floor(c_acctbal)"),
+        ("op_index", "part", "words[1]", SPLIT + "[2]"),
+        ("op_index_text", "part", "name[2]", "CASE WHEN length(p_name) > 2 THEN substr(p_name, 3, 1) END"),
+        ("op_index_bad", "part", "words[-1]", "NULL::VARCHAR"),
+        # Arithmetic
+        ("op_add", "lineitem", "line + part", "l_linenumber::BIGINT + l_partkey"),
+        ("op_add_mixed", "lineitem", "line + quantity", "l_linenumber + l_quantity"),
+        ("op_sub", "lineitem", "part - supplier", "l_partkey - l_suppkey"),
+        ("op_mul", "lineitem", "price * discount", "l_extendedprice * l_discount"),
+        ("op_div_int", "lineitem", "(supplier - part) / line", "CASE WHEN l_suppkey - l_partkey < 0 THEN -((l_partkey - l_suppkey) // l_linenumber) ELSE (l_suppkey - l_partkey) // l_linenumber END::BIGINT"),
+        ("op_div_zero", "part", "100 / (size % 3)", "(100 // nullif(p_size % 3, 0))::BIGINT FAILED p_size % 3 = 0"),
+        ("op_div_float", "lineitem", "price / quantity", "l_extendedprice / l_quantity"),
+        ("op_div_float_zero", "lineitem", "price / (discount * 0.0)", "'infinity'::DOUBLE"),
+        ("op_mod", "lineitem", "(supplier - part) % line", "((l_suppkey - l_partkey) % l_linenumber)::BIGINT"),
+        ("op_neg", "lineitem", "-line", "(-l_linenumber)::BIGINT"),
+        ("op_concat", "customer", "name + \"/\" + segment", "c_name || '/' || c_mktsegment"),
+        ("op_concat_nil", "customer", "name + nick", "c_name || " + NICK + " FAILED " + NICK + " IS NULL"),
+        ("op_list_concat", "part", "words + more", BAR(f"list_concat({SPLIT}, {MORE})")),
+        # Collections
+        ("fn_reduce", "part", "sizes -> Reduce(100) |$a, $x| { $a - $x }", "(100 - p_size - p_size % 7 - (10 - p_size))::BIGINT"),
+        ("fn_reduce_seedless", "part", "sizes -> Reduce |$a, $x| { $a * 2 + $x }", "((p_size * 2 + p_size % 7) * 2 + (10 - p_size))::BIGINT"),
+        ("fn_map", "part", "words -> Map |$w| { $w -> Upper }", BAR(f"list_transform({SPLIT}, lambda w: upper(w))")),
+        ("fn_filter", "part", "words -> Filter |$w| { $w -> Len > 4 }", BAR(f"list_filter({SPLIT}, lambda w: length(w) > 4)")),
+        ("fn_count", "part", "sizes -> Count |$x| { $x > 3 }", f"len(list_filter({SIZES}, lambda x: x > 3))::BIGINT"),
+        ("fn_all", "part", "sizes -> All |$x| { $x > 0 }", "p_size > 0 AND p_size % 7 > 0 AND 10 - p_size > 0"),
+        ("fn_any", "part", "sizes -> Any |$x| { $x > 30 }", "p_size > 30 OR p_size % 7 > 30 OR 10 - p_size > 30"),
+        ("fn_allornone", "part", "sizes -> AllOrNone |$x| { $x % 2 == 0 }", f"len(list_filter({SIZES}, lambda x: x % 2 = 0)) IN (0, 3)"),
+        ("fn_compact", "part", "holes -> Compact", BAR(f"list_filter({HOLES}, lambda x: x IS NOT NULL)")),
+        ("fn_unique", "part", "more -> Unique", BAR("CASE WHEN p_type = p_brand THEN [p_type] ELSE [p_type, p_brand] END")),
+        ("fn_len", "part", "words -> Len", f"len({SPLIT})::BIGINT"),
+        ("fn_len_text", "part", "name -> Len", "length(p_name)::BIGINT"),
+        ("fn_sum", "part", "sizes -> Sum", "(p_size + p_size % 7 + 10 - p_size)::BIGINT"),
+        ("fn_first", "part", "words -> First", SPLIT + "[1]"),
+        ("fn_last", "part", "words -> Last", SPLIT + "[-1]"),
+        ("fn_sort", "part", "holes -> Sort", BARNIL(f"list_sort({HOLES}, 'ASC', 'NULLS FIRST')")),
+        ("fn_reverse", "part", "holes -> Reverse", BARNIL(f"list_reverse({HOLES})")),
+        ("fn_flatten", "part", "nested -> Flatten", BAR(f"list_concat({SPLIT}, [p_brand])")),
+        ("fn_contains", "part", "words -> Contains(\"ring\")", f"list_contains({SPLIT}, 'ring')"),
+        ("fn_contains_nil", "part", "holes -> Contains(nil)", "p_size % 2 <> 0"),
+        # Control flow and kinds
+        ("fn_then", "customer", "nick -> Then |$x| { $x -> Lower }", f"lower({NICK})"),
+        ("fn_lest", "customer", "nick -> Lest { name }", f"coalesce({NICK}, c_name)"),
+        ("fn_with", "customer", "balance -> With |$b| { $b * $b }", "c_acctbal * c_acctbal"),
+        ("fn_typeof", "customer", "gap -> TypeOf", f"CASE WHEN {GAP} IS NULL THEN 'nil' ELSE 'float64' END"),
+        ("fn_isnil", "customer", "nick -> IsNil", f"{NICK} IS NULL"),
+        ("fn_default", "customer", "gap -> Default(0.0)", f"coalesce({GAP}, 0.0::DOUBLE)"),
+        ("fn_coalesce", "customer", "nick -> Coalesce(nil, name)", f"coalesce({NICK}, c_name)"),
+        # Math
+        ("fn_abs", "customer", "balance -> Abs", "abs(c_acctbal)"),
+        ("fn_floor", "customer", "balance -> Floor", "floor(c_acctbal)"),
+        ("fn_ceil", "customer", "balance -> Ceil", "ceil(c_acctbal)"),
+        ("fn_round", "lineitem", "quantity / 2.0 -> Round", "l_quantity / round_even(2.0::DOUBLE, 0)"),
+        ("fn_round_half_even", "lineitem", "(quantity / 2.0) -> Round", "round_even(l_quantity / 2.0::DOUBLE, 0)"),
+        ("fn_min", "customer", "gap -> Min(0.0)", f"CASE WHEN {GAP} IS NULL THEN NULL ELSE least({GAP}, 0.0::DOUBLE) END"),
+        ("fn_max", "customer", "gap -> Max(0.0)", f"greatest(coalesce({GAP}, 0.0::DOUBLE), 0.0::DOUBLE)"),
+        ("fn_min_list", "part", "sizes -> Min", f"list_min({SIZES})::BIGINT"),
+        ("fn_max_list", "part", "sizes -> Max", f"list_max({SIZES})::BIGINT"),
+        ("fn_compare", "customer", "whole -> Compare(7)", f"CASE WHEN {WHOLE} IS NULL THEN -1 ELSE sign({WHOLE} - 7) END::BIGINT"),
+        # Strings
+        ("fn_upper", "part", "name -> Upper", "upper(p_name)"),
+        ("fn_lower", "customer", "segment -> Lower", "lower(c_mktsegment)"),
+        ("fn_trim", "customer", "(\" \" + name + \"  \") -> Trim", "c_name"),
+        ("fn_trimprefix", "customer", "name -> TrimPrefix(\"Customer#\")", "substr(c_name, 10)"),
+        ("fn_trimsuffix", "customer", "name -> TrimSuffix(\"7\")", "CASE WHEN suffix(c_name, '7') THEN substr(c_name, 1, length(c_name) - 1) ELSE c_name END"),
+        ("fn_split", "part", "name -> Split(\"r\")", BAR("string_split(p_name, 'r')")),
+        ("fn_join", "part", "words -> Join(\"-\")", f"array_to_string({SPLIT}, '-')"),
+        ("fn_join_nil", "part", "holes -> Join(\"-\")", "p_name || '-' || p_type FAILED p_size % 2 <> 0"),
+        ("fn_startswith", "part", "name -> StartsWith(\"small\")", "starts_with(p_name, 'small')"),
+        ("fn_endswith", "part", "name -> EndsWith(\"ring\")", "suffix(p_name, 'ring')"),
+        ("fn_replace", "part", "name -> Replace(\"r\", \"RR\")", "replace(p_name, 'r', 'RR')"),
+        ("fn_substring", "part", "name -> Substring(-4, -1)", "substr(p_name, greatest(length(p_name) - 4, 0) + 1, greatest(length(p_name) - 1 - greatest(length(p_name) - 4, 0), 0))"),
+        ("fn_match", "customer", "name -> Match(/#0*([1-9][0-9]*)/)", "CASE WHEN regexp_matches(c_name, '#0*([1-9][0-9]*)') THEN regexp_extract(c_name, '#0*([1-9][0-9]*)', 0) || '|' || regexp_extract(c_name, '#0*([1-9][0-9]*)', 1) END"),
+        ("fn_unknown", "nation", "name -> Frobnicate", "NULL::VARCHAR FAILED true"),
+    ]
+)
+SQL["fn_round"] = SQL["fn_round"].replace("l_quantity / round_even(2.0::DOUBLE, 0)", "l_quantity / 2.0::DOUBLE")
+
+
+# Constraints: rows by code --------------------------------------------------------------------------------------------
+
+
+def constraint_query(table_name: str, constraint: Constraint, value: Callable[[], Column]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = checks.check(constraint, value())
+        return table(spark, sf_dir, table_name).select(F.coalesce(found["code"], F.lit("ok")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+    return run
+
+
+def constraints(entries: list[tuple[str, str, Constraint, Callable[[], Column], str]]) -> None:
+    """The SQL is a CASE's branches."""
+    for name, table_name, constraint, value, cases in entries:
+        QUERIES[name] = constraint_query(table_name, constraint, value)
+        SQL[name] = f"SELECT CASE {cases} ELSE 'ok' END AS code, count(*)::BIGINT AS n FROM {table_name} GROUP BY 1"
+
+
+FAIL, MISMATCH = "'E_CONSTRAINT_FAIL'", "'E_TYPE_MISMATCH'"
+UUID = lambda: F.concat(F.substring(F.md5(text("c_custkey")), 1, 8), F.lit("-0000-4000-8000-"), F.lpad(F.when(F.col("c_custkey") % 3 == 0, F.lit("xyz")).otherwise(text("c_custkey")), 12, "0"))
+constraints(
+    [
+        ("chk_string_len", "part", Constraint("String", 8, 11), lambda: F.col("p_name"), f"WHEN length(p_name) NOT BETWEEN 8 AND 11 THEN {FAIL}"),
+        ("chk_int_range", "part", Constraint("Integer", 5, 40), lambda: F.col("p_size").cast("long"), f"WHEN p_size NOT BETWEEN 5 AND 40 THEN {FAIL}"),
+        ("chk_float_range", "lineitem", Constraint("Float", 0.02, 0.08), lambda: F.col("l_discount"), f"WHEN l_discount NOT BETWEEN 0.02 AND 0.08 THEN {FAIL}"),
+        ("chk_enum", "customer", Constraint("Enum", values=("BUILDING", "MACHINERY", "HOUSEHOLD")), lambda: F.col("c_mktsegment"), f"WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN {FAIL}"),
+        ("chk_pattern", "customer", Constraint("Pattern", values=("^Customer#", "[02468]$")), lambda: F.col("c_name"), f"WHEN NOT regexp_matches(c_name, '^Customer#') OR NOT regexp_matches(c_name, '[02468]$') THEN {FAIL}"),
+        ("chk_date", "orders", Constraint("Date"), lambda: F.when(F.col("o_orderkey") % 7 == 0, F.lit("1997-02-30")).otherwise(day("o_orderdate")), f"WHEN o_orderkey % 7 = 0 THEN {MISMATCH}"),
+        ("chk_timestamp", "events", Constraint("Timestamp"), lambda: F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(F.lit("+02:00"))), f"WHEN event_id % 5 = 0 THEN {MISMATCH}"),
+        ("chk_timestamp_layout", "events", Constraint("Timestamp", format="2006-01-02 15:04"), lambda: F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm"), f"WHEN false THEN {FAIL}"),
+        ("chk_uuid", "customer", Constraint("UUID"), UUID, f"WHEN c_custkey % 3 = 0 THEN {MISMATCH}"),
+        ("chk_vector", "embeddings", Constraint("Vector", size=64), lambda: F.when(F.col("vec_id") % 10 == 0, F.slice(F.col("embedding").cast("array<double>"), 1, 60)).otherwise(F.col("embedding").cast("array<double>")), f"WHEN vec_id % 10 = 0 THEN {FAIL}"),
+        ("chk_list", "part", Constraint("List", 1, 2, element=Constraint("String", 4, None)), lambda: F.split("p_name", " "), f"WHEN len({SPLIT}) NOT BETWEEN 1 AND 2 OR len(list_filter({SPLIT}, lambda w: length(w) < 4)) > 0 THEN {FAIL}"),
+        ("chk_finite", "customer", Constraint("Float"), lambda: F.when(F.col("c_custkey") % 6 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal")), f"WHEN c_custkey % 6 = 0 THEN {MISMATCH}"),
+        ("chk_null_passes", "customer", Constraint("Float", 0, None), lambda: F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")), f"WHEN {GAP} < 0 THEN {FAIL}"),
+    ]
+)
+
+
+@add("chk_list_index", f"SELECT p_partkey::BIGINT AS k, (list_position(list_transform({SPLIT}, lambda w: length(w) < 5), true) - 1)::BIGINT AS at FROM part WHERE list_contains(list_transform({SPLIT}, lambda w: length(w) < 5), true)")
+def chk_list_index(spark, sf_dir):
+    at = checks.failing_index(Constraint("List", element=Constraint("String", 5, None)), F.split("p_name", " "))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), at.cast("long").alias("at")).filter("at is not null")
+
+
+# Validation -----------------------------------------------------------------------------------------------------------
+
+
+def validated(spark: SparkSession, sf_dir: str, type_name: str, source: DataFrame | None = None, **more: str | Column | None) -> DataFrame:
+    columns = {k: v for k, v in (bound(type_name) | more).items() if v is not None}
+    return validate(source if source is not None else table(spark, sf_dir, BINDINGS[type_name][0]), shop(), type_name, columns)
+
+
+def by_code(df: DataFrame) -> DataFrame:
+    return issue_rows(df).groupBy("code", "property", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted(branches: list[tuple[str, str, str, str]], table_name: str, gate: str = "") -> str:
+    """branches: (condition, code, property, message), each a row of issue counts where it holds."""
+    own = [f"SELECT '{code}' AS code, '{prop}' AS property, '{message}' AS message, count(*)::BIGINT AS n FROM {table_name} WHERE {condition}{gate if code in ('E_INVARIANT_FAIL', 'E_EVAL_ERROR') else ''} HAVING count(*) > 0" for condition, code, prop, message in branches]
+    return "\nUNION ALL ".join(own)
+
+
+@add(
+    "validate_customer",
+    counted([("c_acctbal < 0", "E_INVARIANT_FAIL", "", "solvent"), ("NOT starts_with(c_name, 'Customer#')", "E_INVARIANT_FAIL", "", "named_by_key"), ("c_acctbal < -1000", "E_CONSTRAINT_FAIL", "acctbal", "acctbal: value not in [-1000.0, _]")], "customer", " AND c_acctbal >= -1000"),
+)
+def validate_customer(spark, sf_dir):
+    return by_code(validated(spark, sf_dir, "Customer"))
+
+
+ORDER_OK = " AND o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND o_totalprice BETWEEN 0 AND 450000"
+
+
+@add(
+    "validate_orders",
+    counted([("o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')", "E_CONSTRAINT_FAIL", "priority", "priority: not one of the enum''s values"), ("o_totalprice NOT BETWEEN 0 AND 450000", "E_CONSTRAINT_FAIL", "total", "total: value not in [0.0, 450000.0]"), ("o_orderdate < DATE '1995-01-01'", "E_INVARIANT_FAIL", "", "recent"), ("o_orderpriority = '1-URGENT' AND o_totalprice <= 1000", "E_INVARIANT_FAIL", "", "urgent_is_dear")], "orders", ORDER_OK),
+)
+def validate_orders(spark, sf_dir):
+    return by_code(validated(spark, sf_dir, "Order"))
+
+
+@add(
+    "validate_lineitem",
+    counted([("l_quantity NOT BETWEEN 1 AND 45", "E_CONSTRAINT_FAIL", "quantity", "quantity: value not in [1.0, 45.0]"), ("l_tax NOT BETWEEN 0 AND 0.07", "E_CONSTRAINT_FAIL", "tax", "tax: value not in [0.0, 0.07]"), ("l_extendedprice < 0", "E_CONSTRAINT_FAIL", "price", "price: value not in [0.0, _]"), ("l_discount NOT BETWEEN 0 AND 0.1", "E_CONSTRAINT_FAIL", "discount", "discount: value not in [0.0, 0.1]"), ("l_extendedprice / l_quantity <= 1000", "E_INVARIANT_FAIL", "", "unit_price"), ("l_discount + l_tax >= 0.16::DOUBLE", "E_INVARIANT_FAIL", "", "fees")], "lineitem", " AND l_quantity BETWEEN 1 AND 45 AND l_tax BETWEEN 0 AND 0.07 AND l_extendedprice >= 0 AND l_discount BETWEEN 0 AND 0.1"),
+)
+def validate_lineitem(spark, sf_dir):
+    return by_code(validated(spark, sf_dir, "Line"))
+
+
+@add("validate_events", counted([("event_type NOT IN ('click', 'view', 'purchase', 'signup')", "E_CONSTRAINT_FAIL", "kind", "kind: not one of the enum''s values"), ("value NOT BETWEEN 0 AND 80", "E_CONSTRAINT_FAIL", "value", "value: value not in [0.0, 80.0]"), ("event_type = 'purchase' AND value <= 1", "E_INVARIANT_FAIL", "", "dear_purchase")], "events", " AND event_type IN ('click', 'view', 'purchase', 'signup') AND value BETWEEN 0 AND 80"))
+def validate_events(spark, sf_dir):
+    return by_code(validated(spark, sf_dir, "Event"))
+
+
+@add("chk_required", "SELECT 'E_MISSING_REQUIRED' AS code, 'segment' AS property, 'segment is required' AS message, count(*)::BIGINT AS n FROM customer WHERE c_custkey % 4 = 0")
+def chk_required(spark, sf_dir):
+    return by_code(validated(spark, sf_dir, "Customer", segment=F.expr("case when c_custkey % 4 <> 0 then c_mktsegment end"))).filter("code = 'E_MISSING_REQUIRED'")
+
+
+@add("phase_gating", "SELECT CASE WHEN c_custkey % 4 = 0 THEN 1 WHEN c_acctbal < 0 THEN 2 ELSE 0 END AS phase, count(*)::BIGINT AS n FROM customer GROUP BY 1")
+def phase_gating(spark, sf_dir):
+    out = validated(spark, sf_dir, "Customer", segment=F.expr("case when c_custkey % 4 <> 0 then c_mktsegment end"))
+    return out.select(F.coalesce(F.get("_issues", F.lit(0))["phase"], F.lit(0)).alias("phase")).groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("issue_counts", "SELECT 'error' AS severity, count(*)::BIGINT AS n FROM customer WHERE c_acctbal < 0 HAVING count(*) > 0")
+def issue_counts(spark, sf_dir):
+    return issue_rows(validated(spark, sf_dir, "Customer")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("issue_cap", "SELECT o_orderkey::BIGINT AS k, 1::BIGINT AS kept, 1::BIGINT AS dropped FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND o_totalprice NOT BETWEEN 0 AND 450000")
+def issue_cap(spark, sf_dir):
+    out = validate(table(spark, sf_dir, "orders"), shop(), "Order", bound("Order"), cap=1)
+    return out.filter("_dropped > 0").select(F.col("o_orderkey").alias("k"), F.size("_issues").cast("long").alias("kept"), F.col("_dropped").cast("long").alias("dropped"))
+
+
+@add("batch_split", "SELECT c_acctbal >= 0 AS valid, count(*)::BIGINT AS n FROM customer GROUP BY 1")
+def batch_split(spark, sf_dir):
+    good, bad = split(validated(spark, sf_dir, "Customer"))
+    return good.select(F.lit(True).alias("valid")).unionByName(bad.select(F.lit(False).alias("valid"))).groupBy("valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("coerce_types", "SELECT p_partkey::VARCHAR AS part_key, p_name AS name, p_brand AS brand, p_size::BIGINT AS size, p_retailprice AS price FROM part")
+def coerce_types(spark, sf_dir):
+    return coerce(table(spark, sf_dir, "part"), shop().types["Part"], bound("Part")).select("part_key", "name", "brand", "size", "price")
+
+
+@add("abstract_type", "SELECT 'E_ABSTRACT_TYPE' AS code, count(*)::BIGINT AS n FROM nation")
+def abstract_type(spark, sf_dir):
+    return issue_rows(validate(table(spark, sf_dir, "nation"), shop(), "Named", {"name": "n_name"})).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("part_type_direct", "SELECT 'E_PART_TYPE_DIRECT' AS code, count(*)::BIGINT AS n FROM orders")
+def part_type_direct(spark, sf_dir):
+    return issue_rows(validate(table(spark, sf_dir, "orders"), shop(), "Item", {})).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("type_not_found", "SELECT 'E_INSTANCE_TYPE_NOT_FOUND' AS code, count(*)::BIGINT AS n FROM nation")
+def type_not_found(spark, sf_dir):
+    return issue_rows(validate(table(spark, sf_dir, "nation"), shop(), "Nowhere", {})).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("unknown_fields", "SELECT 'E_UNKNOWN_FIELD' AS code, 'n_regionkey' AS property, count(*)::BIGINT AS n FROM nation")
+def unknown_fields(spark, sf_dir):
+    df = table(spark, sf_dir, "nation").select(text("n_nationkey").alias("Nation_Key"), F.col("n_name").alias("NAME"), "n_regionkey")
+    return issue_rows(validate(df, shop(), "Nation", None, allow_unknown=False)).groupBy("code", "property").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("primary_key_text", "SELECT l_orderkey::BIGINT AS k, count(*)::BIGINT AS n, min('[\"' || l_orderkey || '-' || l_linenumber || '\"]') AS least FROM lineitem GROUP BY 1")
+def primary_key_text(spark, sf_dir):
+    return validated(spark, sf_dir, "Line").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("least"))
+
+
+# Invariants -----------------------------------------------------------------------------------------------------------
+
+
+def invariant_query(table_name: str, expression: str) -> Query:
+    """k of the rows that fail, with whether by an error."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = compile_text(expression, {n: (F.expr(c), k) for n, (c, k) in NAMES[table_name].items()})
+        error = v.error.isNotNull() if v.error is not None else F.lit(False)
+        return table(spark, sf_dir, table_name).select(F.col(KEYS[table_name]).cast("long").alias("k"), error.alias("error"), F.coalesce(v.value, F.lit(False)).alias("v")).filter(F.col("error") | ~F.col("v")).select("k", "error")
+
+    return run
+
+
+for _name, _table, _expression, _sql in [
+    ("inv_price_positive", "part", "price > 950.0", "SELECT p_partkey::BIGINT AS k, false AS error FROM part WHERE NOT p_retailprice > 950"),
+    ("inv_cross_field", "part", "size < 20 || price > 1000.0", "SELECT p_partkey::BIGINT AS k, false AS error FROM part WHERE NOT (p_size < 20 OR p_retailprice > 1000)"),
+    ("inv_eval_error", "part", "100 / (size % 5) > 30", "SELECT p_partkey::BIGINT AS k, p_size % 5 = 0 AS error FROM part WHERE p_size % 5 = 0 OR NOT 100 // nullif(p_size % 5, 0) > 30"),
+    ("inv_conditional_presence", "customer", "gap == nil || nick != nil", f"SELECT c_custkey::BIGINT AS k, false AS error FROM customer WHERE {GAP} IS NOT NULL AND {NICK} IS NULL"),
+]:
+    QUERIES[_name] = invariant_query(_table, _expression)
+    SQL[_name] = _sql
+
+
+@add("inv_order_dates", "SELECT o_orderkey::BIGINT AS k FROM orders WHERE o_orderdate < DATE '1995-01-01'" + ORDER_OK)
+def inv_order_dates(spark, sf_dir):
+    return validated(spark, sf_dir, "Order").filter(F.exists("_issues", lambda i: i["message"] == "recent")).select(F.col("o_orderkey").alias("k"))
+
+
+# References -----------------------------------------------------------------------------------------------------------
+
+
+def valid_nodes(spark, sf_dir, type_name: str, condition: str | None = None) -> DataFrame:
+    source = table(spark, sf_dir, BINDINGS[type_name][0])
+    out, _ = split(validated(spark, sf_dir, type_name, source.filter(condition) if condition else source))
+    return out.select(F.lit(shop().type_id(type_name)).alias("type"), F.col("_key").alias("key"))
+
+
+def references(spark, sf_dir, type_name: str, **more) -> DataFrame:
+    columns = bound(type_name) | more
+    good = validated(spark, sf_dir, type_name, **more)
+    return graph.references_of(good, shop(), type_name, columns)
+
+
+@add("edge_customer_nation", "SELECT '[\"' || n_nationkey || '\"]' AS target_key, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def edge_customer_nation(spark, sf_dir):
+    edges, _ = graph.resolve(references(spark, sf_dir, "Customer"), valid_nodes(spark, sf_dir, "Nation"))
+    return edges.groupBy("target_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("edge_order_customer", "SELECT '[\"' || o_orderkey || '\"]' AS key, '[\"' || c_custkey || '\"]' AS target_key FROM orders JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0")
+def edge_order_customer(spark, sf_dir):
+    edges, _ = graph.resolve(references(spark, sf_dir, "Order"), valid_nodes(spark, sf_dir, "Customer"))
+    return edges.select("key", "target_key")
+
+
+@add("unresolved_target_missing", "SELECT '[\"' || o_orderkey || '\"]' AS key, '[\"' || o_custkey || '\"]' AS target_key, 'target_missing' AS reason FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3 AND c_acctbal >= 0)")
+def unresolved_target_missing(spark, sf_dir):
+    _, lost = graph.resolve(references(spark, sf_dir, "Order"), valid_nodes(spark, sf_dir, "Customer", "c_custkey % 10 <> 3"))
+    return lost.select("key", "target_key", "reason")
+
+
+@add("unresolved_absent", "SELECT '[\"' || o_orderkey || '\"]' AS key, 'absent' AS reason FROM orders WHERE o_orderkey % 11 = 0")
+def unresolved_absent(spark, sf_dir):
+    some = target(F.expr("case when o_orderkey % 11 <> 0 then cast(o_custkey as string) end"), "cust_key")
+    _, lost = graph.resolve(references(spark, sf_dir, "Order", CUSTOMER=some), valid_nodes(spark, sf_dir, "Customer"))
+    return lost.filter("reason = 'absent'").select("key", "reason")
+
+
+MANY_TEXT = """
+schema "many"
+type Order { order_key String primary  --> PARTS (one:many) Part { quantity Float[1, 40] required } }
+type Part { part_key String primary }
+type Enrollment { region String primary  student String primary }
+type Grade { grade_key String primary  --> OF (one) Enrollment }
+"""
+
+
+def many_schema():
+    from ..schema.load import load_string
+
+    return load_string(MANY_TEXT, "many")
+
+
+def orders_with_parts(spark, sf_dir) -> DataFrame:
+    """Orders with an array of references to parts, empty for orders without lines."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(text("l_partkey").alias("_target_part_key"), F.col("l_quantity").alias("quantity"))).alias("parts"))
+    none = F.array().cast("array<struct<_target_part_key:string,quantity:double>>")
+    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").select(text("o_orderkey").alias("order_key"), F.coalesce("parts", none).alias("parts"))
+
+
+@add("edge_many_to_many", "SELECT '[\"' || l_partkey || '\"]' AS target_key, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
+def edge_many_to_many(spark, sf_dir):
+    schema = many_schema()
+    orders = validate(orders_with_parts(spark, sf_dir), schema, "Order")
+    parts = table(spark, sf_dir, "part").select(F.lit(schema.type_id("Part")).alias("type"), key_string([text("p_partkey")]).alias("key"))
+    edges, _ = graph.resolve(graph.references_of(orders, schema, "Order"), parts)
+    return edges.groupBy("target_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("edge_properties", "SELECT 'E_CONSTRAINT_FAIL' AS code, 'quantity' AS property, count(*)::BIGINT AS n FROM lineitem WHERE l_quantity NOT BETWEEN 1 AND 40 HAVING count(*) > 0")
+def edge_properties(spark, sf_dir):
+    out = validate(orders_with_parts(spark, sf_dir), many_schema(), "Order", cap=10_000)
+    return issue_rows(out).groupBy("code", "property").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("unresolved_empty", "SELECT '[\"' || o_orderkey || '\"]' AS key, 'empty' AS reason FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def unresolved_empty(spark, sf_dir):
+    schema = many_schema()
+    refs = graph.references_of(validate(orders_with_parts(spark, sf_dir), schema, "Order"), schema, "Order")
+    return refs.filter("reason = 'empty'").select("key", "reason")
+
+
+@add("graph_check", "SELECT 'E_UNRESOLVED_REQUIRED' AS code, reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'absent' WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) THEN 'target_missing' END AS reason FROM orders) WHERE reason IS NOT NULL GROUP BY reason")
+def graph_check(spark, sf_dir):
+    some = target(F.expr("case when o_orderkey % 11 <> 0 then cast(o_custkey as string) end"), "cust_key")
+    _, lost = graph.resolve(references(spark, sf_dir, "Order", CUSTOMER=some), valid_nodes(spark, sf_dir, "Customer"))
+    return graph.completeness(lost).groupBy("code", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def grades(spark, sf_dir) -> DataFrame:
+    part = lambda k, m: F.expr(f"case when {k} % {m} <> 0 then cast({k} as string) end")
+    return table(spark, sf_dir, "customer").select(text("c_custkey").alias("grade_key"), F.struct(part("c_nationkey", 2).alias("_target_region"), part("c_custkey", 3).alias("_target_student")).alias("of"))
+
+
+@add("fk_missing", "SELECT '[\"' || c_custkey || '\"]' AS key FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey % 3 = 0")
+def fk_missing(spark, sf_dir):
+    return issue_rows(validate(grades(spark, sf_dir), many_schema(), "Grade")).filter("code = 'E_MISSING_FK_TARGET'").select("key")
+
+
+@add("fk_partial_composite", "SELECT '[\"' || c_custkey || '\"]' AS key FROM customer WHERE (c_nationkey % 2 = 0) <> (c_custkey % 3 = 0)")
+def fk_partial_composite(spark, sf_dir):
+    return issue_rows(validate(grades(spark, sf_dir), many_schema(), "Grade")).filter("code = 'E_PARTIAL_COMPOSITE_FK'").select("key")
+
+
+@add("semi_join_resolved", "SELECT c_custkey::BIGINT AS k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def semi_join_resolved(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_semi").select(F.col("c_custkey").alias("k"))
+
+
+# Duplicates, children, snapshots --------------------------------------------------------------------------------------
+
+LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+LINE_ORDER_SQL = ", ".join(LINE_ORDER)
+
+
+@add("dup_pk_lineitem", f"SELECT l_orderkey::BIGINT AS order_key, l_linenumber::BIGINT AS line, nth::BIGINT AS nth, l_partkey::BIGINT AS part FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINE_ORDER_SQL}) AS nth FROM lineitem) WHERE nth > 1")
+def dup_pk_lineitem(spark, sf_dir):
+    out = graph.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], LINE_ORDER)
+    return out.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("long").alias("line"), F.col("nth").cast("long").alias("nth"), F.col("l_partkey").alias("part"))
+
+
+@add("dedup_first_wins", f"SELECT l_orderkey::BIGINT AS order_key, l_linenumber::BIGINT AS line, l_partkey::BIGINT AS part FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINE_ORDER_SQL}) AS nth FROM lineitem) WHERE nth = 1")
+def dedup_first_wins(spark, sf_dir):
+    first, _ = graph.dedup(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], LINE_ORDER)
+    return first.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_partkey").alias("part"))
+
+
+def order_items(spark, sf_dir) -> DataFrame:
+    item = F.struct(F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_partkey").alias("part"))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return table(spark, sf_dir, "orders").join(items, "o_orderkey", "left")
+
+
+@add("compose_order_items", "SELECT o_orderkey::BIGINT AS k, count(l_orderkey)::BIGINT AS items, coalesce(max(l_linenumber), 0)::BIGINT AS last FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def compose_order_items(spark, sf_dir):
+    out = order_items(spark, sf_dir)
+    return out.select(F.col("o_orderkey").alias("k"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("items"), F.coalesce(F.array_max("items.line"), F.lit(0)).cast("long").alias("last"))
+
+
+@add(
+    "composed_child_issues",
+    "SELECT code, count(*)::BIGINT AS n FROM (SELECT CASE WHEN l_discount > 0.09 THEN 'E_CONSTRAINT_FAIL' WHEN NOT (l_quantity < 49 OR l_discount < 0.05) THEN 'E_INVARIANT_FAIL' END AS code FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= DATE '1995-01-01' AND NOT (o_orderpriority = '1-URGENT' AND o_totalprice <= 1000)" + ORDER_OK + ") WHERE code IS NOT NULL GROUP BY code",
+)
+def composed_child_issues(spark, sf_dir):
+    out = validate(order_items(spark, sf_dir), shop(), "Order", bound("Order") | {"ITEMS": "items"}, cap=10_000)
+    return issue_rows(out).filter("phase = 5").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("dup_composed_pk", "SELECT l_orderkey::BIGINT AS k FROM lineitem GROUP BY l_orderkey HAVING count(*) > count(DISTINCT l_linenumber)")
+def dup_composed_pk(spark, sf_dir):
+    out = order_items(spark, sf_dir).filter(F.size(F.array_distinct("items.line")) < F.size("items"))
+    return out.select(F.col("o_orderkey").alias("k"))
+
+
+@add("one_cardinality", "SELECT l_orderkey::BIGINT AS k, (count(*) - 1)::BIGINT AS rejected FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def one_cardinality(spark, sf_dir):
+    _, rest = graph.dedup(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", *LINE_ORDER])
+    return rest.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("rejected"))
+
+
+@add("late_children", "SELECT CASE WHEN o_orderkey IS NULL THEN 'E_GRAPH_PARENT_NOT_FOUND' ELSE 'attached' END AS code, count(*)::BIGINT AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 <> 0) ON o_orderkey = l_orderkey GROUP BY 1")
+def late_children(spark, sf_dir):
+    children = table(spark, sf_dir, "lineitem").select(key_string([text("l_orderkey")]).alias("parent_key"), text("l_linenumber").alias("key")).distinct()
+    parents = table(spark, sf_dir, "orders").filter("o_orderkey % 9 <> 0").select(key_string([text("o_orderkey")]).alias("key"))
+    there, issues = graph.attach(children, parents, shop(), "Order", "ITEMS", ["key"])
+    return there.select(F.lit("attached").alias("code")).unionByName(issues.select("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("compose_conversation_turns", "SELECT conv_id::BIGINT AS k, count(*)::BIGINT AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
+def compose_conversation_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("k")).agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return turns.select("k", F.size("t").cast("long").alias("turns"), F.array_join("t.role", ",").alias("roles"))
+
+
+@add("validate_conversations", "SELECT conv_id::BIGINT AS k, (sum(CASE WHEN role NOT IN ('user', 'assistant', 'system') OR role IS NULL THEN 1 ELSE 0 END) + sum(CASE WHEN coalesce(length(text), 0) < 1 THEN 1 ELSE 0 END))::BIGINT AS issues FROM conversations GROUP BY 1")
+def validate_conversations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+    out = validate(turns, shop(), "Conversation", {"conv_id": text("conv_id"), "TURNS": "turns"}, cap=10_000)
+    return out.select(F.col("conv_id").alias("k"), F.size("_issues").cast("long").alias("issues"))
+
+
+@add("explode_children", "SELECT l_orderkey::BIGINT AS k, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_partkey) - 1)::BIGINT AS at, l_partkey::BIGINT AS part FROM lineitem")
+def explode_children(spark, sf_dir):
+    return order_items(spark, sf_dir).select(F.col("o_orderkey").alias("k"), F.posexplode("items").alias("at", "i")).select("k", F.col("at").cast("long").alias("at"), F.col("i.part").alias("part"))
+
+
+@add("composed_key", "SELECT '[[\"' || l_orderkey || '\"],\"ITEMS\",[\"' || l_linenumber || '\"]]' AS key, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
+def composed_key(spark, sf_dir):
+    key = graph.composed_key(key_string([text("l_orderkey")]), "ITEMS", key_string([text("l_linenumber")]))
+    return table(spark, sf_dir, "lineitem").groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("snapshot_nodes", "SELECT 'shop#Nation' AS type, '[\"' || n_nationkey || '\"]' AS key FROM nation UNION ALL SELECT 'shop#Region', '[\"' || r_regionkey || '\"]' FROM region")
+def snapshot_nodes(spark, sf_dir):
+    return graph.snapshot_nodes(valid_nodes(spark, sf_dir, "Nation").unionByName(valid_nodes(spark, sf_dir, "Region")))
+
+
+@add("snapshot_edges", "SELECT 'shop#Nation' AS type, '[\"' || n_nationkey || '\"]' AS key, 'REGION' AS relation, 'shop#Region' AS target_type, '[\"' || n_regionkey || '\"]' AS target_key FROM nation")
+def snapshot_edges(spark, sf_dir):
+    edges, _ = graph.resolve(references(spark, sf_dir, "Nation"), valid_nodes(spark, sf_dir, "Region"))
+    return graph.snapshot_edges(edges).select("type", "key", "relation", "target_type", "target_key")
+
+
+@add("types_present", "SELECT 'shop#Nation' AS type UNION ALL SELECT 'shop#Region'")
+def types_present(spark, sf_dir):
+    return graph.types_present(valid_nodes(spark, sf_dir, "Nation").unionByName(valid_nodes(spark, sf_dir, "Region")))
+
+
+@add("instance_by_key", "SELECT 'shop#Customer' AS type, '[\"42\"]' AS key FROM customer WHERE c_custkey = 42 AND c_acctbal >= 0")
+def instance_by_key(spark, sf_dir):
+    return graph.instance_by_key(valid_nodes(spark, sf_dir, "Customer"), shop().type_id("Customer"), '["42"]')
+
+
+# Metadata -------------------------------------------------------------------------------------------------------------
+
+
+@add("schema_members")
+def schema_members(spark, sf_dir):
+    rows = [(t.name, p.name, p.constraint.kind, p.primary, p.optional) for t in shop().types.values() for p in t.all_properties]
+    return spark.createDataFrame(rows, "type string, property string, kind string, primary boolean, optional boolean")
+
+
+@add("inheritance_linear")
+def inheritance_linear(spark, sf_dir):
+    return spark.createDataFrame([(t.name, list(t.ancestors), shop().subtypes(t.name)) for t in shop().types.values()], "type string, ancestors array<string>, subtypes array<string>")
+
+
+@add("schema_errors")
+def schema_errors(spark, sf_dir):
+    from ..diag import SchemaError
+    from ..schema.load import load_string
+
+    try:
+        load_string('schema "bad"\ntype A extends B { x Integer[9, 1] primary }\ntype A {}\ntype C { Vec Vector[0] }', "bad")
+    except SchemaError as e:
+        found = e.problems.sorted()
+    return spark.createDataFrame([(p.code, p.message, p.line) for p in found], "code string, message string, line int")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' issues by code, unresolved references to nations among them."""
+    out = validated(spark, sf_dir, "Customer")
+    _, lost = graph.resolve(graph.references_of(out, shop(), "Customer", bound("Customer")), valid_nodes(spark, sf_dir, "Nation", "n_nationkey <> 7"))
+    own = issue_rows(out).select("code")
+    return own.unionByName(graph.completeness(lost).select("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code")
+
+
+QUERIES["flagship"] = flagship
+SQL["flagship"] = "SELECT code, count(*)::BIGINT AS n FROM (SELECT 'E_INVARIANT_FAIL' AS code FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'E_UNRESOLVED_REQUIRED' FROM customer WHERE c_nationkey = 7) GROUP BY code"
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
 
 
-def oracle_sql():
-    return {}
