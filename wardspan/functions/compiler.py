@@ -100,7 +100,13 @@ def unify(a: Kind, b: Kind) -> Kind | None:
 
 
 def to_kind(v: Value, kind: Kind) -> Column:
-    return v.value if v.kind == kind else v.value.cast(kind.spark())
+    if v.kind == kind:
+        return v.value
+    if v.kind == NIL:
+        return null(kind)
+    if v.kind == list_kind(NIL):
+        return F.transform(v.value, lambda x: null(kind.element))
+    return v.value.cast(kind.spark())
 
 
 @dataclass
