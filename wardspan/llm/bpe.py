@@ -6,7 +6,7 @@ before it is compatible: merging the two tokens' bytes by rank gives these two t
 both sides of the seam until they contradict it or reach single bytes. Back-pointers from the end give the exact ids.
 
 Pieces come from the tokenizer's split pattern; strings of special tokens are cut out before. Pieces repeat a lot, so each
-Python worker remembers up to ``REMEMBERED`` pieces. The vocabulary file's path is a parameter; the file's content is
+Python worker remembers up to twice ``REMEMBERED`` pieces. The vocabulary file's path is a parameter; the file's content is
 broadcast from the driver (its size is fixed by the tokenizer).
 
 A null text is empty and has no ids. Invalid UTF-8 is read with replacement characters. Whole texts are encoded, whatever
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import binary, free_name, map_arrow, small_batches, table
 
-#: Pieces that a worker remembers, of at most so many characters each.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 40
+#: Pieces that either half of a worker's memory holds, of at most so many characters each; pairs of tokens that it remembers.
+REMEMBERED, REMEMBERED_CHARS, SEAMS = 120_000, 40, 200_000
 # Fixed value: the split pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for texts without characters from U+0100 on, with the classes written out: re is faster than regex.
@@ -85,15 +85,16 @@ class Vocabulary:
         self.pattern = regex.compile(PATTERN)
         self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
         self.known: dict[str, bytes] = {}
-        self.seams: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.seams: dict[int, bool] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens by rank ends with the same two tokens."""
-        key = left, right
+        key = left << 32 | right
         found = self.seams.get(key)
         if found is None:
             found = self._compatible(left, right)
-            if len(self.seams) < REMEMBERED:
+            if len(self.seams) < SEAMS:
                 self.seams[key] = found
         return found
 
@@ -141,19 +142,21 @@ class Vocabulary:
 
     def _part(self, text: str) -> bytes:
         words = (LATIN if text.isascii() or max(text) < "\u0100" else self.pattern).findall(text)
-        known = self.known
-        new = set(words).difference(known)
+        known, older = self.known, self.older
+        distinct = set(words)
+        new = distinct.difference(known)
         if not new:
             return b"".join(map(known.__getitem__, words))
-        own = {w: np.array(self._piece(w.encode()), "<u4").tobytes() for w in new}
-        short = {w: x for w, x in own.items() if len(w) <= REMEMBERED_CHARS}
-        if len(known) + len(short) > REMEMBERED:
-            own |= {w: known[w] for w in set(words).difference(own)}
-            known.clear()
-            known.update(short)
-            return b"".join(map(own.__getitem__, words))
-        known.update(short)
-        return b"".join([known[w] if w in known else own[w] for w in words] if len(short) < len(own) else map(known.__getitem__, words))
+        own = {w: older.get(w) or np.array(self._piece(w.encode()), "<u4").tobytes() for w in new}
+        for w in distinct.difference(new):
+            own[w] = known[w]
+        if len(known) > REMEMBERED:  # frequent pieces come back from the older half
+            self.older, self.known = known, {}
+            known = self.known
+        for w in new:
+            if len(w) <= REMEMBERED_CHARS:
+                known[w] = own[w]
+        return b"".join(map(own.__getitem__, words))
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace").encode()
