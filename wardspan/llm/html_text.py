@@ -49,6 +49,8 @@ WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
+#: Elements that may be the content region where there is no article.
+CONTAINERS = frozenset("div section body center table td".split())
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 #: A start tag of the first closes open elements of the second, up to an element of the third.
@@ -255,9 +257,8 @@ def _by_score(lines: list[Line], seeds: list[Line]) -> list[str]:
     candidates: dict[int, Element] = {}
     for x in seeds:
         own, at, share = float(len(x.text) - x.linked), x.at, 1.0
-        if at.tag in HEADINGS or at.tag in ("p", "pre", "blockquote", "li", "td", "tr", "dd", "dt", "a", "b", "i", "em", "strong", "span", "font"):
-            while at.parent is not None and at.parent.parent is not None and at.tag not in ("div", "section", "body", "main", "center", "table"):
-                at = at.parent
+        while at.parent is not None and at.tag not in CONTAINERS:
+            at = at.parent
         for _ in range(3):
             at.score += own * share
             candidates[id(at)] = at
