@@ -48,20 +48,24 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column("vector")
         n = b.num_rows
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(n, -1) if n else np.empty((0, 1))
-        scale = np.abs(flat).max(axis=1, keepdims=True) / 127 if n else np.empty((0, 1))
+        if not n:
+            continue
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(n, -1)
+        scale = np.abs(flat).max(axis=1, keepdims=True) / 127
         small = np.rint(flat / scale).astype(np.int8)
         coarse = [s.astype("<f4").tobytes() + q.tobytes() for s, q in zip(scale, small, strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([v.tobytes() for v in flat], pa.binary()), pa.array(coarse, pa.binary())], ["node", "exact", "coarse"])
 
 
 def _coarse(column: pa.Array) -> np.ndarray:
+    if not len(column):
+        return np.empty((0, 1), np.float32)
     data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
     return data[:, :4].copy().view("<f4") * data[:, 4:].copy().view(np.int8).astype(np.float32)
 
 
 def _exact(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -158,8 +162,9 @@ def _deal(batches: Iterator[pa.RecordBatch], forest, salts: int) -> Iterator[pa.
         if not b.num_rows:
             continue
         x, node = _coarse(b.column("coarse")), b.column("node").to_numpy()
-        salt = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % salts
-        for t in range(len(f.normals)):
+        for t in range(len(f.normals)):  # parts of a leaf are dealt anew in each tree, or they would never meet
+            mixed = (node.astype(np.uint64) + np.uint64(t << 40)) * np.uint64(0x9E3779B97F4A7C15)
+            salt = ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % salts
             leaf = (t * 2 ** (f.depth + 1) + f.leaves(x, t)) * salts + salt
             yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("node"), b.column("coarse")], ["leaf", "node", "coarse"])
 
@@ -291,7 +296,7 @@ def _search_block(block: DataFrame, nodes: DataFrame, walk: DataFrame, beam: int
         near = map_arrow(ahead.join(nodes.select("node", "exact"), "node").select("q", "node", "exact"), partial(_measure, queries=send), STATE)
         both = state.withColumn("open", F.lit(0)).unionByName(near).select(F.col("q").alias("u"), F.col("node").alias("c"), "d", F.col("open").alias("fresh"))
         state = cut(best(both, beam).select(F.col("u").alias("q"), F.col("c").alias("node"), "d", F.col("fresh").alias("open")))
-        left, = state.agg(F.sum("open")).first()
+        (left,) = state.agg(F.sum("open")).first()
         if not left:
             return state.select("q", "node", "d")
         full = state.groupBy("q").agg(F.when(F.count(F.lit(1)) >= beam, F.max("d")).alias("worst")).filter("worst is not null").toArrow()
