@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..diag import of_category
 from ..functions.compiler import BOOL, FLOAT, INT, STR, Kind, compile_text, list_kind
 from ..operators import checks, graph
 from ..operators.validate import coerce, issue_rows, key_string, split, validate
 from ..schema.model import Constraint
+from ..sources import json_read, json_write
 from .tables import BINDINGS, bound, day, shop, table, target, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -571,6 +573,74 @@ def instance_by_key(spark, sf_dir):
     return graph.instance_by_key(valid_nodes(spark, sf_dir, "Customer"), shop().type_id("Customer"), '["42"]')
 
 
+# JSON in and out ------------------------------------------------------------------------------------------------------
+
+
+def props_schema():
+    from ..schema.load import load_string
+
+    return load_string('schema "props" type Props { k Integer[10, 60] required  ! "even" k % 2 == 0 }', "props")
+
+
+@add("json_raw_issues", "SELECT code, count(*)::BIGINT AS n FROM (SELECT CASE WHEN k IS NULL THEN 'E_MISSING_REQUIRED' WHEN k NOT BETWEEN 10 AND 60 THEN 'E_CONSTRAINT_FAIL' WHEN k % 2 <> 0 THEN 'E_INVARIANT_FAIL' END AS code FROM (SELECT (props->>'k')::BIGINT AS k FROM events)) WHERE code IS NOT NULL GROUP BY code")
+def json_raw_issues(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.try_parse_json("props").alias("obj"))
+    return issue_rows(json_read.validate_raw(rows, props_schema(), "Props")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("json_values", "SELECT event_id::BIGINT AS id, (props->>'k')::BIGINT AS k FROM events")
+def json_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("obj"))
+    return json_read.validate_raw(rows, props_schema(), "Props").select(F.col("event_id").alias("id"), F.col("_values.k").alias("k"))
+
+
+@add("json_strange_fields", "SELECT 'E_UNKNOWN_FIELD' AS code, '$.k' AS path, count(*)::BIGINT AS n FROM events WHERE (props->>'k') IS NOT NULL")
+def json_strange_fields(spark, sf_dir):
+    from ..schema.load import load_string
+
+    rows = table(spark, sf_dir, "events").select(F.try_parse_json("props").alias("obj"))
+    out = json_read.validate_raw(rows, load_string('schema "x" type X { other String }', "x"), "X")
+    return issue_rows(out).groupBy("code", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("type_tags", "SELECT tag, regexp_full_match(tag, '([A-Za-z][A-Za-z0-9_]*\\.)?[A-Z][A-Za-z0-9_]*') AND tag NOT IN ('String', 'Date') AS ok FROM (SELECT DISTINCT p_type AS tag FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT 'al.' || p_type FROM part UNION SELECT unnest(['String', 'List', 'Date', 'lower', 'a.b.C', '']))")
+def type_tags(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    fixed = spark.createDataFrame([(t,) for t in ("String", "List", "Date", "lower", "a.b.C", "")], "tag string")
+    tags = parts.select(F.col("p_type").alias("tag")).unionByName(parts.select(F.col("p_brand").alias("tag"))).unionByName(parts.select(F.concat(F.lit("al."), "p_type").alias("tag"))).unionByName(fixed)
+    return tags.distinct().select("tag", json_read.valid_tag(F.col("tag")).alias("ok"))
+
+
+@add("graph_json", """SELECT 'Nation' AS type, '["' || n_nationkey || '"]' AS key, '{"name":"' || n_name || '","nation_key":"' || n_nationkey || '","region":["' || n_regionkey || '"]}' AS json FROM nation""")
+def graph_json(spark, sf_dir):
+    columns = {k: F.col(v) if isinstance(v, str) else v for k, v in bound("Nation").items()}
+    return json_write.rows_json(validated(spark, sf_dir, "Nation"), shop(), "Nation", columns, F.col("_key"))
+
+
+@add("graph_json_children", """SELECT conv_id::BIGINT AS k, '{"conv_id":"' || conv_id || '","turns":[' || string_agg('{"turn":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn) || ']}' AS json FROM conversations GROUP BY 1, conv_id""")
+def graph_json_children(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    columns = {"conv_id": text("conv_id"), "TURNS": F.col("turns")}
+    return turns.select(F.col("conv_id").alias("k"), json_write.instance_json(shop(), "Conversation", columns).alias("json"))
+
+
+@add("diagnostics_json", """SELECT 'unresolved' AS section, '{"type":"shop#Customer","key":"[\\"' || c_custkey || '\\"]","relation":"NATION","target_type":"shop#Nation","target_key":"[\\"7\\"]","reason":"target_missing"}' AS json FROM customer WHERE c_nationkey = 7""")
+def diagnostics_json(spark, sf_dir):
+    _, lost = graph.resolve(references(spark, sf_dir, "Customer"), valid_nodes(spark, sf_dir, "Nation", "n_nationkey <> 7"))
+    return json_write.diagnostics_json(lost, lost.limit(0).select("type", "key"))
+
+
+@add("edge_index", "SELECT '[\"' || n_nationkey || '\"]' AS key, 'REGION' AS relation, '[\"' || n_regionkey || '\"]' AS targets FROM nation")
+def edge_index(spark, sf_dir):
+    edges, _ = graph.resolve(references(spark, sf_dir, "Nation"), valid_nodes(spark, sf_dir, "Region"))
+    return json_write.edge_index(edges).select("key", "relation", F.array_join("targets", "|").alias("targets"))
+
+
+@add("issues_of_category", "SELECT 'E_INVARIANT_FAIL' AS code, count(*)::BIGINT AS n FROM customer WHERE c_acctbal < 0 HAVING count(*) > 0")
+def issues_of_category(spark, sf_dir):
+    return of_category(issue_rows(validated(spark, sf_dir, "Customer")), "instance").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Metadata -------------------------------------------------------------------------------------------------------------
 
 
