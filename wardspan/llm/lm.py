@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import binary, cut, map_arrow, small_batches, table
 
-ORDER, NODES, COMMON = 5, 98_304, 150_000
+ORDER, NODES, COMMON = 5, 65_536, 150_000
 #: Symbols are bytes; of those that no word holds, one blank parts words, one is the end and one pads the start.
 BLANK, END, START = 32, 10, 13
 SYMBOLS = 256 - 6 + 2
@@ -146,44 +146,45 @@ class Trie:
         names, row = np.unique(np.append(c.astype(np.int64) << 4 | k, 0), return_inverse=True)
         context, length = names >> 4, names & 15
         size = len(names)
-        first, later = np.zeros((size, width)), np.zeros((size, width))
+        first, later = np.zeros((size, width), np.float32), np.zeros((size, width), np.float32)
         np.add.at(first, (row[:-1], self.symbol[s]), n)
         np.add.at(later, (row[:-1], self.symbol[s]), m)
+        del row
 
-        def find(context: np.ndarray, length: np.ndarray) -> np.ndarray:
+        def find(context: np.ndarray, length: int) -> np.ndarray:
             """Nodes by context and length, -1 where there is none."""
             name = context << 4 | length
             at = np.minimum(np.searchsorted(names, name), size - 1)
             return np.where(names[at] == name, at, -1)
 
-        logs, below, follow = np.zeros((size, width)), np.zeros((size, width)), np.zeros((size, width), np.int32)
+        logs, below, follow = np.zeros((size, width), np.float32), np.zeros((size, width), np.float32), np.zeros((size, width), np.int32)
         with np.errstate(divide="ignore", invalid="ignore"):
             for d in range(order + 1):
-                at = np.flatnonzero(length == d)
-                if not len(at):
-                    break
-                seen = first[at] > 0
-                if d == 0:
-                    below[at] = -np.log10(max(1, SYMBOLS - int(seen.sum())))
+                every = np.flatnonzero(length == d)
+                for at in np.array_split(every, -(-len(every) // 2048)) if len(every) else []:
+                    seen = first[at] > 0
                     up = at
-                else:
-                    up = find(context[at] & ((1 << 8 * (d - 1)) - 1), np.full(len(at), d - 1))
-                    new = np.where(seen, 0, later[up])
-                    below[at] = self._escaped(new, below[up], discount)
-                logs[at] = self._escaped(first[at], below[at], discount)
-                # The next node: the longest context that ends with this one and the symbol.
-                follow[at] = follow[up] if d else 0
-                longer = context[at][:, None] << 8 | used[None, :]
-                if d == order:
-                    longer &= (1 << 8 * order) - 1
-                there = find(longer, np.full(longer.shape, min(d + 1, order)))
-                follow[at[:, None], np.arange(len(used))[None, :]] = np.where(there >= 0, there, follow[at][:, :-1])
-        self.width, self.logs, self.next = width, logs.astype(np.float32).ravel(), (follow * width).astype(np.int32).ravel()
+                    if d == 0:
+                        below[at] = -np.log10(max(1, SYMBOLS - int(seen.sum())))
+                    else:
+                        up = find(context[at] & ((1 << 8 * (d - 1)) - 1), d - 1)
+                        below[at] = self._escaped(np.where(seen, 0, later[up]), below[up], discount)
+                    logs[at] = self._escaped(first[at], below[at], discount)
+                    # The next node: the longest context that ends with this one and the symbol.
+                    shorter = follow[up] if d else np.zeros((len(at), width), np.int32)
+                    longer = context[at][:, None] << 8 | used[None, :]
+                    if d == order:
+                        longer &= (1 << 8 * order) - 1
+                    there = find(longer, min(d + 1, order))
+                    shorter[:, :-1] = np.where(there >= 0, there, shorter[:, :-1])
+                    follow[at] = shorter
+        self.width, self.logs, self.next = width, logs.ravel(), follow.ravel()
+        self.next *= width
 
     @staticmethod
     def _escaped(counts: np.ndarray, below: np.ndarray, discount: float) -> np.ndarray:
         """log10 shares: each seen symbol's count less the discount; the discounts together are the escape."""
-        seen = counts > 0
+        counts, seen = counts.astype(np.float64), counts > 0
         total, kinds = counts.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
         escape = np.where(kinds > 0, np.log10(discount * kinds / total), 0.0)
         return np.where(seen, np.log10((counts - discount) / total), below + escape)
@@ -246,7 +247,8 @@ def train(docs: DataFrame) -> tuple[DataFrame, Trie, dict[bytes, int], int, int,
     word = cut(counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
     ends = training.count()
     total, kinds = word.agg(F.sum("n"), F.count(F.lit(1))).first()
-    common = {bytes(r[0]): r[1] for r in word.orderBy(F.desc("n"), "word").limit(COMMON).collect()}
+    top = word.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+    common = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     # Level by level: a shorter string's count is the sum over the longer ones that end with it, and how many they are.
     level = counts.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).withColumn("m", F.col("n"))
     levels = []
