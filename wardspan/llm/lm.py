@@ -139,7 +139,7 @@ class Trie:
         Contexts are closed under dropping their oldest symbol. Escapes count m, so what a longer context predicts well
         doesn't weigh on the shorter one (update exclusion).
         """
-        used = np.unique(np.append(s, [END, BLANK])).astype(np.int64)
+        used = np.unique(np.append(s, [END, BLANK, START])).astype(np.int64)
         self.symbol = np.full(256, len(used), np.int64)  # all others share a column
         self.symbol[used] = np.arange(len(used))
         width = len(used) + 1
