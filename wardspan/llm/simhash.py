@@ -271,10 +271,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The document with the smallest id of each component, with the columns of docs; of rows that repeat its id, one."""
     names = docs.columns
-    kept = near_duplicates(docs, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    first = packed.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
-    least = first.groupBy("_id").agg(F.min_by("_row", F.xxhash64(F.col("_row").getField("text"))).alias("_row"))
+    key = F.coalesce(F.col("_id").cast("string"), F.lit("null")).alias("_key")  # one key for join and group: texts are shuffled once
+    kept = near_duplicates(docs, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct().select(key)
+    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id")).select("_row", key)
+    least = packed.join(kept, "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", F.xxhash64(F.col("_row").getField("text"))).alias("_row"))
     return least.select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 
