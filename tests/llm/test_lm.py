@@ -101,3 +101,23 @@ def test_odd_tables(spark):
     assert math.isclose(r["base_score"], 5 * math.log10(0.5 / 0.5)) and math.isclose(r["score"], -19 * math.log10(lm.SYMBOLS), rel_tol=1e-6)
     out = lm.score(spark.createDataFrame([(None, "x", 0), (5, "x", 0), (5, "x", 0), (6, "y " * 100_000, 0)], DOCS))
     assert out.count() == 4
+
+
+def test_all_contexts_are_kept(spark):
+    """More contexts than a table of 65,536 holds, in many shards."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrst"), 7)) for _ in range(300))) for i in range(30)]
+    training = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    seen = {(k, t[at - k : at]) for t in training for at in range(len(t)) for k in range(min(at, lm.ORDER) + 1)}
+    assert len(seen) > 65_536
+    out = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame([(*r, 0) for r in rows], DOCS)).collect()}
+    held = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1)
+    for i in (held, next(i for i, t in rows if t in training)):
+        assert math.isclose(out[i], brute_ppm(training, rows[i][1], 10**9), rel_tol=1e-4)
+
+
+def test_shards_answer_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(TEXTS)], DOCS)
+    whole = {r["doc_id"]: r["score"] for r in lm.score(df).collect()}
+    monkeypatch.setattr(lm, "SHARD_BYTES", 40)
+    assert all(math.isclose(r["score"], whole[r["doc_id"]], rel_tol=1e-6) for r in lm.score(df).collect())

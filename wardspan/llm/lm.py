@@ -5,13 +5,15 @@ Both models learn from all training documents. What they score is a text's token
 Base: add-half counts of tokens. Counts of all words are aggregated in Spark; the ``COMMON`` most frequent are broadcast (a
 fixed number), a document's other words meet their counts in a join of numbers and words, never of texts.
 
-Model: the words' bytes joined by one blank each, and an end, are predicted one by one from a trie of byte contexts. Counts of
-all strings of ``ORDER + 1`` symbols are aggregated in Spark; the ``NODES`` most frequent contexts of up to ``ORDER`` bytes are
-the trie's nodes (a context is never more frequent than its suffixes, so the trie is closed), and each has all its
-counts. A symbol that a context has seen gets the share of its count less ``DISCOUNT``; the discounts are the escape, which
-leads to the next shorter context, where the symbols already seen are excluded, down to equal shares of all symbols. As the
-counts are pretrained, a context's code lengths and its successors make a fixed table (``NODES`` times 252 at most), and a
-document is an automaton's walk. Texts are cut to pieces that overlap by ``ORDER`` symbols, and all pieces walk in step.
+Model: the words' bytes joined by one blank each, and an end, are predicted one by one from up to ``ORDER`` bytes before them. All
+strings of ``ORDER + 1`` symbols of all training documents are counted, and every context that was seen is kept. A symbol that a
+context has seen gets the share of its count less ``DISCOUNT``; the discounts are the escape, which leads to the next shorter
+context, where the symbols already seen are excluded, down to equal shares of all symbols.
+
+So a symbol's code length depends on its string of ``ORDER + 1`` symbols only. Texts are gathered to blocks, and each block asks
+for its distinct strings. The counts are dealt to shards by the three bytes before the symbol, so a shard has all its contexts of
+three bytes and more; their number grows with the input. Shorter contexts (as many as the alphabet makes at most) are known to
+all. A shard answers the strings that blocks ask for, and the answers meet the blocks' texts again.
 
 A null or empty text has one token, its end. Without training documents counts are 0 and all symbols are alike. A null id is
 dealt by the hash of the empty text. Repeated rows count each. An empty table gives an empty result.
@@ -21,16 +23,24 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary, cut, map_arrow, small_batches, table
 
-ORDER, NODES, COMMON = 5, 65_536, 150_000
+ORDER, COMMON = 5, 150_000
+#: The most frequent contexts that a caller wants kept; None keeps all.
+NODES: int | None = None
+#: Contexts of so many bytes at most are known to all shards.
+LOW = 2
+#: Bytes of texts that ask for their strings together; bytes of texts for which there is a shard.
+ASKING, SHARD_BYTES = 8 << 20, 8 << 20
 #: Symbols are bytes; of those that no word holds, one blank parts words, one is the end and one pads the start.
 BLANK, END, START = 32, 10, 13
 SYMBOLS = 256 - 6 + 2
@@ -38,9 +48,9 @@ SYMBOLS = 256 - 6 + 2
 DISCOUNT = 0.3
 BITS = 8
 PIECE = 512
-#: Words or strings that a task counts before it hands them on.
+#: Words that a task counts before it hands them on.
 HELD = 400_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
@@ -63,8 +73,8 @@ def _symbols(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], ends])
 
 
-def _grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of ORDER + 1 symbols that end within a text, oldest symbol on top, and their counts."""
+def _strings(texts: list[list[bytes]]) -> np.ndarray:
+    """All strings of ORDER + 1 symbols that end within a text, oldest symbol on top, in the order of the texts."""
     data, begin = _symbols(texts)
     code = np.zeros(len(data) - ORDER, np.int64)
     for k in range(ORDER + 1):
@@ -73,7 +83,12 @@ def _grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(ORDER):  # those that reach over an end
         at = begin[1:-1] - ORDER + k
         own[at] = False
-    code = np.sort(code[own])
+    return code[own]
+
+
+def _grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of these strings, and their counts."""
+    code = np.sort(_strings(texts))
     first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
     return code[first], np.diff(np.append(first, len(code)))
 
@@ -101,35 +116,192 @@ def _blocks(texts: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
         yield block
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (gram is null) and of strings of symbols (word is null), added up within the task."""
+def _shard(code: np.ndarray, shards: int) -> np.ndarray:
+    """By the three bytes before the symbol."""
+    return (code >> BITS & 0xFFFFFF) * 40_503 % 16_777_213 % shards
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Longs, all first bytes first: high bytes are mostly alike, which files and shuffles then compress."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _longs(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+_GATHERED = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("word", pa.binary()), ("n", pa.int64()), ("shard", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
+GATHERED = "block long, doc_id long, text binary, word binary, n long, shard int, codes binary, counts binary"
+
+
+def _gathered(size: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in _GATHERED], schema=_GATHERED)
+
+
+def _gather(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Three kinds of rows: texts with their block; counts of training words; a block's strings by shard, with training counts."""
     seen: Counter[bytes] = Counter()
-    grams = None
+    block, size = TaskContext.get().partitionId() << 32, 0
+    training: list[list[bytes]] = []
+    others: list[list[bytes]] = []
 
     def told_words():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.nulls(len(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "gram", "n"])
+        return _gathered(len(seen), word=pa.array(list(seen), pa.binary()), n=pa.array(list(seen.values()), pa.int64()))
 
     def told_grams():
-        return pa.RecordBatch.from_arrays([pa.nulls(len(grams[0]), pa.binary()), pa.array(grams[0]), pa.array(grams[1])], ["word", "gram", "n"])
+        grams = None
+        for part in _blocks(training):
+            grams = _merge(grams, _grams(part))
+        for part in _blocks(others):
+            code, n = _grams(part)
+            grams = _merge(grams, (code, np.zeros_like(n)))
+        code, n = grams
+        shard = _shard(code, shards)
+        order = np.argsort(shard, kind="stable")
+        code, n, shard = code[order], n[order], shard[order]
+        starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        ends = np.append(starts[1:], len(code))
+        codes = [_planes(np.diff(code[i:j], prepend=0)) for i, j in zip(starts, ends, strict=True)]
+        counts = [_planes(n[i:j]) for i, j in zip(starts, ends, strict=True)]
+        return _gathered(len(starts), block=pa.array([block] * len(starts), pa.int64()), shard=pa.array(shard[starts]), codes=pa.array(codes, pa.binary()), counts=pa.array(counts, pa.binary()))
 
     for b in batches:
         texts = [words(t) for t in b.column("text").to_pylist()]
-        for t in texts:
-            seen.update(t)
+        held = b.column("held").to_pylist()
+        lo = 0
+        for i, (t, h) in enumerate(zip(texts, held, strict=True)):
+            (others if h else training).append(t)
+            if not h:
+                seen.update(t)
+            size += sum(map(len, t)) + len(t) + ORDER
+            if size > ASKING or i + 1 == len(texts):
+                yield _gathered(i + 1 - lo, block=pa.array([block] * (i + 1 - lo), pa.int64()), doc_id=b.column("doc_id").slice(lo, i + 1 - lo), text=pa.array([b" ".join(x) for x in texts[lo : i + 1]], pa.binary()))
+                lo = i + 1
+            if size > ASKING:
+                yield told_grams()
+                training, others, size, block = [], [], 0, block + 1
         if len(seen) > HELD:
             yield told_words()
             seen.clear()
-        for block in _blocks(texts):
-            grams = _merge(grams, _grams(block))
-            if len(grams[0]) > 3 * HELD:
-                yield told_grams()
-                grams = None
     if seen:
         yield told_words()
-    if grams is not None:
+    if training or others:
         yield told_grams()
 
 
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each key of a partition that is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(key).to_numpy()
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        for i, j in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+            if held and keys[i] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(keys[i])
+            held.append(b.slice(i, j - i))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _shorter(code: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings with contexts of k bytes, from those one byte longer: how often, and after how many."""
+    code = code & ((1 << BITS * (k + 1)) - 1)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    if not len(code):
+        return code, n, n
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    return code[first], np.add.reduceat(n, first), np.diff(np.append(first, len(code)))
+
+
+def _high(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A shard's strings by the length of the context, down to LOW (which other shards add to)."""
+    grams = None
+    for codes, counts in zip(t.column("codes").to_pylist(), t.column("counts").to_pylist(), strict=True):
+        code, n = np.cumsum(_longs(codes)), _longs(counts)
+        if (n > 0).any():
+            grams = (code[n > 0], n[n > 0]) if grams is None else tuple(np.concatenate(x) for x in zip(grams, (code[n > 0], n[n > 0]), strict=True))
+    if grams is None:
+        return {}
+    code, n, _ = _shorter(*grams, ORDER)
+    out = {ORDER: (code, n, n)}
+    for k in range(ORDER - 1, LOW - 1, -1):
+        out[k] = _shorter(out[k + 1][0], out[k + 1][1], k)
+    return out
+
+
+def _levels(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """(k, gram, n, m) of contexts of LOW bytes, or of all of that or more."""
+    for _, t in _runs(batches, "shard"):
+        for k, (code, n, m) in _high(t).items():
+            if every or k == LOW:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code), pa.array(n), pa.array(m)], ["k", "gram", "n", "m"])
+
+
+class Shard:
+    """Code lengths (log10) of strings from the counts by the context's length k: (strings, n, m), strings sorted."""
+
+    def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], kept: np.ndarray | None = None):
+        self.levels: dict[int, tuple[np.ndarray, ...]] = {}
+        for k in range(ORDER + 1):
+            code, n, m = levels.get(k, (np.empty(0, np.int64),) * 3)
+            if kept is not None:
+                own = np.isin(code >> BITS << 4 | k, kept)
+                code, n, m = code[own], n[own], m[own]
+            if not len(code):
+                continue
+            context = code >> BITS
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            below = np.zeros(len(code), np.int64)
+            if k:  # what the next shorter context counts of the symbols seen here
+                up = self.levels[k - 1]
+                below = up[2][np.searchsorted(up[0], code & ((1 << BITS * k) - 1))]
+            self.levels[k] = (code, n, m, context[first], np.add.reduceat(n, first), np.add.reduceat(m, first), np.diff(np.append(first, len(code))), np.add.reduceat(below, first))
+
+    def logs(self, code: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(code)), np.arange(len(code))
+        escaped, less, fewer = np.zeros(len(code), bool), np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        for k in range(ORDER, -1, -1):
+            if k not in self.levels or not len(todo):
+                continue
+            strings, n, m, contexts, sum_n, sum_m, kinds, below = self.levels[k]
+            own = code[todo] & ((1 << BITS * (k + 1)) - 1)
+            c = np.minimum(np.searchsorted(contexts, own >> BITS), len(contexts) - 1)
+            there = contexts[c] == own >> BITS
+            own, c, at = own[there], c[there], todo[there]
+            g = np.minimum(np.searchsorted(strings, own), len(strings) - 1)
+            hit, again = strings[g] == own, escaped[at]
+            total = np.where(again, sum_m[c] - less[at], sum_n[c])
+            left = kinds[c] - fewer[at]
+            count = np.where(again, m[g], n[g])
+            out[at[hit]] += np.log10((count[hit] - DISCOUNT) / total[hit])
+            miss = ~hit & (left > 0)
+            out[at[miss]] += np.log10(DISCOUNT * left[miss] / total[miss])
+            gone = at[~hit]
+            escaped[gone], less[gone], fewer[gone] = True, below[c[~hit]], kinds[c[~hit]]
+            done = np.zeros(len(code), bool)
+            done[at[hit]] = True
+            todo = todo[~done[todo]]
+        out[todo] -= np.log10(max(1, SYMBOLS - (int(self.levels[0][6][0]) if 0 in self.levels else 0)))
+        return out
+
+
+def _answer(batches: Iterator[pa.RecordBatch], low, kept) -> Iterator[pa.RecordBatch]:
+    """Each block's strings of each shard: their code lengths, in their order."""
+    for shard, t in _runs(batches, "shard"):
+        model = Shard(_high(t) | low.value, kept.value)
+        asked = [np.cumsum(_longs(x)) for x in t.column("codes").to_pylist()]
+        code, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+        logs = model.logs(code).astype("<f4")[inverse]
+        parts = np.split(logs, np.cumsum([len(x) for x in asked])[:-1])
+        yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks(), pa.array(np.full(len(asked), shard, np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "shard", "logs"])
+
+
 class Trie:
     """The automaton: for each node and symbol a code length (log10) and the next node."""
 
@@ -219,10 +391,35 @@ class Trie:
         return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], trie, common) -> Iterator[pa.RecordBatch]:
-    model, known = trie.value, common.value
-    for b in batches:
-        texts = [words(t) for t in b.column("text").to_pylist()]
+def _model_scores(texts: list[list[bytes]], answers: np.ndarray, shards: int) -> np.ndarray:
+    """log10 of each text's probability; answers: of the distinct strings by shard, sorted."""
+    found = []
+    for part in _blocks(texts):
+        c, inverse = np.unique(_strings(part), return_inverse=True)
+        found.append((c, inverse.astype(np.int32)))
+    code = np.unique(np.concatenate([c for c, _ in found]))
+    logs = np.empty(len(code))
+    logs[np.argsort(_shard(code, shards), kind="stable")] = answers
+    out, done = [], 0
+    for c, inverse in found:
+        symbol = logs[np.searchsorted(code, c)][inverse]
+        sizes, at = [], 0
+        while at < len(symbol):
+            sizes.append(at)
+            at += sum(map(len, texts[done])) + max(len(texts[done]) - 1, 0) + 1
+            done += 1
+        out.append(np.add.reduceat(symbol, sizes))
+    return np.concatenate(out)
+
+
+def _score(batches: Iterator[pa.RecordBatch], common, shards: int) -> Iterator[pa.RecordBatch]:
+    """A block's answers come before its texts."""
+    known = common.value
+    for _, table_ in _runs(batches, "block"):
+        mine = table_.filter(pc.is_valid(table_.column("text")))
+        answers = np.frombuffer(b"".join(table_.column("logs").drop_null().to_pylist()), "<f4")
+        texts = [t.split(b" ") if t else [] for t in mine.column("text").to_pylist()]
+        scores = _model_scores(texts, answers, shards)
         n_tokens, n_common, logs, rare, rare_n = [], [], [], [], []
         for t in texts:
             own = Counter(t)
@@ -236,41 +433,82 @@ def _score(batches: Iterator[pa.RecordBatch], trie, common) -> Iterator[pa.Recor
             rare.append([w for w, x in zip(own, found, strict=True) if not x])
             rare_n.append(times[~hit])
         lists = pa.array(rare, pa.list_(pa.binary()))
-        times = pa.ListArray.from_arrays(lists.offsets, pa.array(np.concatenate(rare_n) if rare_n else np.empty(0, np.int64), pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_common, pa.int64()), pa.array(logs, pa.float64()), pa.array(model.score(texts) if texts else [], pa.float64()), lists, times], ["doc_id", "n_tokens", "n_common", "logs", "score", "rare", "times"])
+        times = pa.ListArray.from_arrays(lists.offsets, pa.array(np.concatenate(rare_n), pa.int64()))
+        yield pa.RecordBatch.from_arrays([mine.column("doc_id").combine_chunks(), pa.array(n_tokens, pa.int64()), pa.array(n_common, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores, pa.float64()), lists, times], ["doc_id", "n_tokens", "n_common", "logs", "score", "rare", "times"])
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Trie, dict[bytes, int], int, int, int]:
-    """Counts of all words of the training rows (doc_id, text), the trie, the common words, N, V and the number of ends."""
-    training = docs.filter(~held_out(F.col("doc_id")))
-    counts = cut(map_arrow(training.select(binary("text")), _count, "word binary, gram long, n long"))
-    word = cut(counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
-    ends = training.count()
+def _gather_all(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """What _gather() tells of docs (doc_id, text), the number of shards and of training rows."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary("text"), held_out(F.col("doc_id")).alias("held"))
+    size, ends = rows.agg(F.sum(F.octet_length("text")), F.count(F.when(~F.col("held"), 1))).first()
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // SHARD_BYTES)
+    return cut(map_arrow(rows, partial(_gather, shards=shards), GATHERED)), shards, ends
+
+
+def _by_shard(gathered: DataFrame, *columns: str) -> DataFrame:
+    n = int(gathered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return gathered.filter("shard is not null").select("shard", *columns).repartition(n, "shard").sortWithinPartitions("shard")
+
+
+def _common(gathered: DataFrame, ends: int) -> tuple[DataFrame, dict[bytes, int], int, int]:
+    """Counts of all words, the common words, N and V."""
+    word = cut(gathered.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
     total, kinds = word.agg(F.sum("n"), F.count(F.lit(1))).first()
     top = word.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
-    common = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
-    # Level by level: a shorter string's count is the sum over the longer ones that end with it, and how many they are.
-    level = counts.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).withColumn("m", F.col("n"))
-    levels = []
-    for k in range(ORDER, -1, -1):
-        level = cut(level)
-        levels.append(level.select(F.lit(k).alias("k"), F.shiftright("gram", BITS).alias("c"), F.col("gram").bitwiseAND((1 << BITS) - 1).alias("s"), "n", "m"))
-        level = level.groupBy(F.col("gram").bitwiseAND((1 << BITS * k) - 1).alias("gram")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
-    every = reduce(DataFrame.unionByName, levels)
-    nodes = every.groupBy("k", "c").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "k", "c").limit(NODES).select("k", "c")
-    kept = every.join(F.broadcast(nodes), ["k", "c"]).select("k", "c", "s", "n", "m").toArrow()  # NODES * SYMBOLS rows at most
-    columns = [kept.column(x).to_numpy().astype(np.int64) for x in ("k", "c", "s", "n", "m")]
-    return word, Trie(*columns), common, int(total or 0) + ends, int(kinds) + (ends > 0), ends
+    return word, dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)), int(total or 0) + ends, int(kinds) + (ends > 0)
+
+
+def _low(levels: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Strings with contexts of LOW bytes and less: as many as the alphabet makes at most."""
+    got = levels.filter(F.col("k") == LOW).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).orderBy("gram").toArrow()
+    out = {LOW: tuple(got.column(c).to_numpy().astype(np.int64) for c in ("gram", "n", "m"))}
+    for k in range(LOW - 1, -1, -1):
+        out[k] = _shorter(out[k + 1][0], out[k + 1][1], k)
+    return out
+
+
+def _every(levels: DataFrame, low: dict) -> DataFrame:
+    """(k, c, s, n, m) of all strings, those of low among them."""
+    short = pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*[(np.full(len(v[0]), k, np.int32), *v) for k, v in low.items()], strict=True)], ["k", "gram", "n", "m"])
+    rows = levels.filter(F.col("k") > LOW).unionByName(levels.sparkSession.createDataFrame(short))
+    return rows.select("k", F.shiftright("gram", BITS).alias("c"), F.col("gram").bitwiseAND((1 << BITS) - 1).alias("s"), "n", "m")
+
+
+def _most_frequent(every: DataFrame) -> DataFrame:
+    """The NODES contexts that are most frequent (a context is never more frequent than its suffixes, so these stay too)."""
+    return every.groupBy("k", "c").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "k", "c").limit(NODES).select("k", "c")
+
+
+LEVELS = "k int, gram long, n long, m long"
+
+
+def train(docs: DataFrame) -> tuple[DataFrame, Trie, dict[bytes, int], int, int, int]:
+    """Of tables that fit one machine: word counts of the training rows (doc_id, text), the automaton, the common words, N, V, ends."""
+    gathered, _, ends = _gather_all(docs)
+    word, common, n, v = _common(gathered, ends)
+    levels = cut(map_arrow(_by_shard(gathered, "codes", "counts"), partial(_levels, every=True), LEVELS))
+    every = _every(levels, _low(levels))
+    kept = (every if NODES is None else every.join(F.broadcast(_most_frequent(every)), ["k", "c"], "left_semi")).toArrow()
+    return word, Trie(*[kept.column(x).to_numpy().astype(np.int64) for x in ("k", "c", "s", "n", "m")]), common, n, v, ends
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    word, trie, common, n, v, ends = train(docs)
+    gathered, shards, ends = _gather_all(docs)
+    word, common, n, v = _common(gathered, ends)
+    levels = cut(map_arrow(_by_shard(gathered, "codes", "counts"), partial(_levels, every=NODES is not None), LEVELS))
+    low, kept = _low(levels), None
+    if NODES is not None:
+        top = _most_frequent(_every(levels, low)).toArrow()
+        kept = top.column("c").to_numpy().astype(np.int64) << 4 | top.column("k").to_numpy().astype(np.int64)
     send = spark.sparkContext.broadcast
-    rows = docs.select(F.col("doc_id").cast("long"), binary("text"))
-    first = map_arrow(rows, partial(_score, trie=send(trie), common=send(common)), "doc_id long, n_tokens long, n_common long, logs double, score double, rare array<binary>, times array<long>")
+    answers = map_arrow(_by_shard(gathered, "block", "codes", "counts"), partial(_answer, low=send(low), kept=send(kept)), "block long, shard int, logs binary")
+    texts = gathered.filter("text is not null").select("block", "doc_id", "text")
+    met = answers.select("block", "shard", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text"), "logs").unionByName(texts.select("block", F.lit(shards).alias("shard"), "doc_id", "text", F.lit(None).cast("binary").alias("logs")))
+    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "shard")
+    first = map_arrow(met, partial(_score, common=send(common), shards=shards), "doc_id long, n_tokens long, n_common long, logs double, score double, rare array<binary>, times array<long>")
     first = cut(first.withColumn("row", F.monotonically_increasing_id()))
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(word, "word", "left")
