@@ -54,3 +54,8 @@ def test_query(spark, sf_dir):
     out = html_text.query(spark, sf_dir)
     assert out.dtypes == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
     assert out.filter("n_chars <> char_length(text)").count() == 0 and out.filter("n_chars = 0").count() == 0
+
+
+@pytest.mark.parametrize("section", ["<![ endif]-->", "<![foo bar]>", "<![if !IE]>", "<![endif]>", "<![x[y]]>", "<![CDATA[a > b]]>"])
+def test_unknown_sections_end_at_their_bracket(section):
+    assert html_text.main_text(f"<article><p>{STORY}</p>{section}<p>More of it.</p></article>") == f"{STORY}\n\nMore of it."

@@ -173,6 +173,13 @@ class Lines(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Closed CDATA goes up to its brackets; anything else is a comment up to the next '>', as browsers read it."""
+        if self.rawdata.startswith("CDATA[", i + 3) and (end := self.rawdata.find("]]>", i)) >= 0:
+            return end + 3
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_data(self, data: str) -> None:
         top = self.top
         if not top.skip:
