@@ -62,3 +62,9 @@ def test_blocks_of_queries(spark, monkeypatch):
     whole = found(spark, rows)
     monkeypatch.setattr(neighbours, "BLOCK", 7)
     assert found(spark, rows) == whole
+
+
+def test_negative_zeros(spark):
+    rows = [(100, [-0.0, 1.0], 0), (200, [0.0, 1.0], 0), (300, [1.0, -0.0], 0), (1, [2.0, -0.0], 0)]
+    got = found(spark, rows)
+    assert {q: [i for _, i in v] for q, v in got.items()} == {100: [200, 300, 1], 200: [100, 300, 1], 300: [1, 100, 200]}

@@ -71,7 +71,7 @@ def _exact(column: pa.Array) -> np.ndarray:
 def usable(vectors: DataFrame) -> DataFrame:
     """(id, vector) of the rows that take part, one per id."""
     finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.transform(F.col("vector").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vector"))  # no -0.0: vectors are matched by their bytes
     rows = rows.filter(F.col("id").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
     most = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
     return cut(rows.filter(F.size("vector") == (most["size"] if most else 0)).groupBy("id").agg(F.min("vector").alias("vector")))
