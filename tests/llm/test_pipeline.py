@@ -3,11 +3,11 @@ import hashlib
 import numpy as np
 import pytest
 from test_line_dedup import brute as brute_lines
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_kept
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 import __spark_entry__  # noqa: E402
-from wardspan.llm import mixing  # noqa: E402
+from wardspan.llm import mixing, simhash  # noqa: E402
 from wardspan.llm.common import cut  # noqa: E402
 
 
@@ -38,9 +38,8 @@ def test_stages(spark, sf_dir):
 
     three = cut(near(spark, two, sf_dir))
     assert three.columns == names
-    ids = sorted(got)
-    roots = brute_components([brute_fingerprint(got[i]["text"]) for i in ids])
-    assert {r["doc_id"] for r in three.collect()} == {i for k, i in enumerate(ids) if roots[k] == k}
+    budget = simhash.similar_bits(simhash.SIMILARITY, simhash.WIDE)[1]
+    assert {r["doc_id"] for r in three.collect()} == brute_kept([(i, r["text"]) for i, r in got.items()], budget)
 
     four = cut(mixed(spark, three, sf_dir))
     assert four.columns == names

@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,17 +37,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/wardspan/{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_wardspan_run_dir", None) != path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        spark.sparkContext._wardspan_run_dir = path
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, fixes nondeterminism."""
-    path = f"{shared_dir(df.sparkSession)}/wardspan/{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every table that cut() wrote below the shared folder; frames that still read them fail afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/wardspan")
+    """Delete every table that cut() wrote in this application; frames that still read them fail afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark.sparkContext._wardspan_run_dir = None
 
 
 def ship(spark: SparkSession) -> None:
@@ -70,11 +84,41 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Rows of whole texts go to Python in batches of so many at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000") or 10000) != rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Rows of whole texts go to Python in batches of so many rows and bytes at most (one longer text is a batch of its own).
+
+    Both are settings of the session, read when a query runs, so they stay set.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if spark.conf.get(key) != str(most):
+            spark.conf.set(key, str(most))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 1) -> Iterator[pa.Table]:
+    """Tables of whole groups of a partition that is sorted by the key, of so many rows at least but for the last."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows > least:
+            keys = b.column(key).to_numpy()
+            at = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+            if at or (len(held) > 1 and held[-2].column(key)[-1].as_py() != keys[0]):
+                yield pa.Table.from_batches([*held[:-1], b.slice(0, at)])
+                held, rows = [b.slice(at)], b.num_rows - at
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit keys made into others that look random."""
+    x = x ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def binary(name: str) -> Column:
@@ -82,10 +126,8 @@ def binary(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary").alias(name)
 
 
-def raw(column: pa.Array) -> tuple[memoryview, "numpy.ndarray"]:
+def raw(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """All bytes of a binary or string column without nulls, and the n + 1 offsets into them."""
-    import numpy as np
-
     wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     _, at, data = column.buffers()
     offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if at is not None and len(column) else np.zeros(1, np.int64)

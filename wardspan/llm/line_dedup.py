@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, binary, cut, eq_null_safe, free_name, map_arrow, small_batches, table
+from .common import BLANKS, binary, cut, eq_null_safe, free_name, map_arrow, mixed, small_batches, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 65_536
@@ -66,13 +66,6 @@ def _occurrences(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[
 # The minimal perfect hash ---------------------------------------------------------------------------------------------
 
 
-def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
-    x = keys ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class PerfectHash:
     """Places 0 to n-1 for n distinct 64-bit keys; any other key gets some place or none."""
 
@@ -92,7 +85,7 @@ class PerfectHash:
             raise ValueError("keys repeat")
         while len(left):
             words = max(1, -(-GAMMA * len(left) // 64))
-            at = (_mix(left, len(levels)) % np.uint64(words * 64)).astype(np.int64)
+            at = (mixed(left, len(levels)) % np.uint64(words * 64)).astype(np.int64)
             alone = np.bincount(at, minlength=words * 64) == 1
             levels.append(np.packbits(alone, bitorder="little").view(np.uint64))
             left = left[~alone[at]]
@@ -105,7 +98,7 @@ class PerfectHash:
         for level, words in enumerate(self.levels):
             if not len(open_):
                 break
-            at = _mix(keys[open_], level) % np.uint64(len(words) * 64)
+            at = mixed(keys[open_], level) % np.uint64(len(words) * 64)
             word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
             here = words[word] >> bit & np.uint64(1) == 1
             below = words[word[here]] & ((np.uint64(1) << bit[here]) - np.uint64(1))
@@ -139,18 +132,18 @@ class Shard:
 
 def _salted(h1: np.ndarray, h2: np.ndarray, salt: int) -> np.ndarray:
     """Keys of the perfect hash: h1, or a blend with h2 if two of a shard's lines share h1."""
-    return h1 if salt == 0 else h1 ^ _mix(h2, salt)
+    return h1 if salt == 0 else h1 ^ mixed(h2, salt)
 
 
 def _shard_of(h1: np.ndarray, n_shards: int) -> np.ndarray:
-    return (_mix(h1, 77) % np.uint64(n_shards)).astype(np.int64)
+    return (mixed(h1, 77) % np.uint64(n_shards)).astype(np.int64)
 
 
 def _with_shard(batches: Iterator[pa.RecordBatch], n_shards: int, salts: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         shard = _shard_of(b.column("h1").to_numpy(zero_copy_only=False).view(np.uint64), n_shards)
         ids = b.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).view(np.uint64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard), pa.array((_mix(ids, 5) % np.uint64(salts)).astype(np.int64))], [*b.schema.names, "shard", "salt"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard), pa.array((mixed(ids, 5) % np.uint64(salts)).astype(np.int64))], [*b.schema.names, "shard", "salt"])
 
 
 def _build_shard(t: pa.Table) -> pa.Table:
