@@ -15,8 +15,8 @@ def test_query(spark, sf_dir, name):
         assert df.count() > 0
 
 
-def test_every_query_but_metadata_has_sql():
-    assert set(catalogue.queries()) - set(SQL) == {"schema_members", "inheritance_linear", "schema_errors"}
+def test_every_query_has_sql():
+    assert set(catalogue.queries()) == set(SQL)
 
 
 def test_entry_imports_without_llm(tmp_path):

@@ -130,3 +130,19 @@ def test_precedence():
     assert parse_expression("!a == b") == ("op", "==", ("not", ("name", "a")), ("name", "b"))
     assert parse_expression("a || b && c") == ("op", "||", ("name", "a"), ("op", "&&", ("name", "b"), ("name", "c")))
     assert parse_expression("6 / 2 / 3 =~ /a\\/b/")[1] == "=~"
+
+
+def test_rendering_of_diagnostics():
+    import json
+
+    from wardspan.diag import Problems, render_json, render_text
+
+    one, two = Problems(limit=2), Problems()
+    two.add("E_SYNTAX", "odd token", "b.txt", 3)
+    two.add("E_INVALID_NAME", "no name", "a.txt")
+    two.add("E_SYNTAX", "another", "b.txt", 1)
+    one.merge(two)
+    assert render_text(one) == "a.txt: error[E_INVALID_NAME]: no name\nb.txt:3: error[E_SYNTAX]: odd token\n1 more not shown"
+    said = json.loads(render_json(one))
+    assert said["dropped"] == 1 and said["issues"][0] == {"severity": "error", "code": "E_INVALID_NAME", "category": "schema", "message": "no name", "source": "a.txt"}
+    assert render_text(Problems()) == ""

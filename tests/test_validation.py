@@ -109,3 +109,80 @@ def test_attach(spark):
     kept, found = graph.attach(children, parents, SCHEMA, "Cart", "NOTE", ["n"])
     assert [r["n"] for r in kept.collect()] == [1]
     assert graph.attach(children, parents, SCHEMA, "Person", "KNOWS", ["n"])[1].count() == 5
+
+
+def test_nothing_throws(spark):
+    """Values of other types are issues, wherever they are; what can be read is."""
+    schema = load_string('schema "x" type M { k String primary  a Integer  b Float  c Boolean  d List<Integer[0, 9]>  e Vector[2]  g Date  ! "small" a < 100 }')
+    rows = [("1", "5", "1.5", "true", ["1"], [1, 2]), ("2", "x", "y", "z", ["1", "q"], [1, 2]), ("3", "2.5", "1e3", "FALSE", ["12"], [1]), ("4", "99999999999999999999", None, None, None, None)]
+    out = validate(spark.createDataFrame(rows, "k string, a string, b string, c string, d array<string>, e array<int>"), schema, "M")
+    assert issues(out) == {
+        '["1"]': [],
+        '["2"]': [("E_TYPE_MISMATCH", "$.a"), ("E_TYPE_MISMATCH", "$.b"), ("E_TYPE_MISMATCH", "$.c"), ("E_TYPE_MISMATCH", "$.d[1]")],
+        '["3"]': [("E_TYPE_MISMATCH", "$.a"), ("E_CONSTRAINT_FAIL", "$.d[0]"), ("E_CONSTRAINT_FAIL", "$.e")],
+        '["4"]': [("E_TYPE_MISMATCH", "$.a")],
+    }
+    df = spark.range(1).selectExpr("'k' as k", "cast(2.5 as double) as a", "array(1) as b", "5 as c", "'x' as d", "map('a', 1) as e", "struct(1) as g")
+    assert issues(validate(df, schema, "M"))['["k"]'] == [("E_TYPE_MISMATCH", f"$.{c}") for c in "abcdeg"]
+    whole = spark.range(1).selectExpr("'k' as k", "cast(3 as double) as a", "cast(1.5 as decimal(5, 2)) as b", "array(cast(3 as double), 2.5D) as d", "date'2024-02-29' as g")
+    assert issues(validate(whole, schema, "M"))['["k"]'] == [("E_TYPE_MISMATCH", "$.d[1]")]
+    got = coerce(whole, schema.types["M"]).first()
+    assert (got["a"], got["b"], got["d"], got["g"]) == (3, 1.5, [3, None], "2024-02-29")
+
+
+NESTED = load_string(
+    """schema "n"
+    type A { id String primary  *-> PARTS (many) P }
+    part type P { no Integer required  note String  *-> PARTS (_:many) Q }
+    part type Q { v Float[0, 1] required  w Integer }
+    """
+)
+
+
+def test_nested_children_and_shapes(spark):
+    rows = spark.sql("select 'a' as id, array(named_struct('NO', 1, 'parts', array(named_struct('v', 0.5, 'w', 'q'), named_struct('v', 2.0, 'w', null))), null) as parts")
+    assert issues(validate(rows, NESTED, "A")) == {'["a"]': [("E_TYPE_MISMATCH", "$.parts[0].parts[0].w"), ("E_CONSTRAINT_FAIL", "$.parts[0].parts[1].v"), ("E_EDGE_SHAPE_MISMATCH", "$.parts[1]")]}
+    assert issues(validate(spark.sql("select 'a' as id, 'x' as parts"), NESTED, "A")) == {'["a"]': [("E_EDGE_SHAPE_MISMATCH", "$.parts")]}
+    odd = spark.sql("select 'a' as id, array(named_struct('no', 1, 'odd', 2)) as parts")
+    assert issues(validate(odd, NESTED, "A"))['["a"]'] == [] and issues(validate(odd, NESTED, "A", allow_unknown=False))['["a"]'] == [("E_UNKNOWN_FIELD", "$.parts[0].odd")]
+    edges = "id string, age long, name string, works_at struct<_target_id:string,ROLE:string,odd:int>, knows struct<_target_id:string>"
+    df = spark.createDataFrame([("a", 30, "Ann", ("k", "x", 1), ("b",))], edges)
+    assert issues(validate(df, SCHEMA, "Person")) == {'["a"]': [("E_EDGE_SHAPE_MISMATCH", "$.knows")]}
+    assert ("E_UNKNOWN_EDGE_FIELD", "$.works_at.odd") in issues(validate(df, SCHEMA, "Person", allow_unknown=False))['["a"]']
+
+
+def test_build_graph(spark):
+    """Only valid rows count, the first of a key stays, and duplicates have neither edges nor children."""
+    people = spark.createDataFrame([("a", 30, "Ann", ("k", "x", None), [("b",)], 1), ("a", 31, "Anna", ("q", "x", None), [("a",)], 2), ("b", 3, "Bob", ("k", "x", None), [], 1), ("c", 30, "Cy", ("none", "x", None), [("b",), ("a",)], 1)], PERSON + ", n int")
+    columns = {c: c for c in ("id", "age", "name")} | {"WORKS_AT": "works_at", "KNOWS": "knows"}
+    companies = spark.createDataFrame([("k",), ("q",), (None,)], "id string")
+    carts = spark.createDataFrame([("x", [("1", 2), ("2", 4)], 1), ("x", [("9", 2)], 2)], "id string, items array<struct<sku:string,quantity:long>>, n int")
+    inputs = {"Person": graph.Input(people, columns, ("n",)), "Company": graph.Input(companies), "Cart": graph.Input(carts, {"id": "id", "ITEMS": "items"}, ("n",)), "Item": graph.Input(companies), "Nope": graph.Input(companies)}
+    g = graph.build_graph(inputs, SCHEMA)
+    assert sorted((r["type"].split("#")[1], r["key"]) for r in g.nodes.collect()) == [("Cart", '["x"]'), ("Company", '["k"]'), ("Company", '["q"]'), ("Person", '["a"]'), ("Person", '["c"]')]
+    assert sorted((r["key"], r["relation"], r["target_key"]) for r in g.edges.collect()) == [('["a"]', "WORKS_AT", '["k"]'), ('["c"]', "KNOWS", '["a"]')]
+    assert sorted((r["key"], r["relation"], r["target_key"], r["reason"]) for r in g.unresolved.collect()) == [('["a"]', "KNOWS", '["b"]', "target_missing"), ('["c"]', "KNOWS", '["b"]', "target_missing"), ('["c"]', "WORKS_AT", '["none"]', "target_missing")]
+    assert sorted((r["key"], r["nth"]) for r in g.duplicates.collect()) == [('["a"]', 2), ('["x"]', 2)]
+    taken = g.duplicates.filter("key = '[\"a\"]'").first()
+    assert '"name":"Anna"' in taken["instance"] and '"name":"Ann"' in taken["conflict"]
+    assert sorted(r["code"] for r in g.issues.collect()) == ["E_DUPLICATE_PK", "E_DUPLICATE_PK", "E_GRAPH_INVALID_COMPOSITION", "E_GRAPH_TYPE_NOT_FOUND"]
+    assert sorted((r["parent_key"], r["key"]) for r in g.children("Cart", "ITEMS").collect()) == [('["x"]', '["1"]'), ('["x"]', '["2"]')]
+    assert g.rejected["Person"].count() == 1 and g.rejected["Company"].count() == 1 and g.check().count() == 0
+    assert [r["id"] for r in g.with_edge("Person", "WORKS_AT").collect()] == ["a"]
+    with pytest.raises(ValueError):
+        graph.build_graph({}, SCHEMA)
+    assert graph.build_graph({"Nope": graph.Input(companies)}, SCHEMA).nodes.count() == 0
+
+
+def test_absent_required_references(spark):
+    schema = load_string('schema "r" type A { id String primary  --> TO (one) B } type B { id String primary }')
+    g = graph.build_graph({"A": graph.Input(spark.sql("select 'a' as id")), "B": graph.Input(spark.sql("select 'b' as id"))}, schema)
+    assert [(r["key"], r["reason"]) for r in g.unresolved.collect()] == [('["a"]', "absent")] and g.check().count() == 1
+
+
+def test_walk_with_edges(spark):
+    nodes = spark.createDataFrame([("T", "b"), ("T", "a"), ("S", "z")], "type string, key string")
+    edges = spark.createDataFrame([("T", "a", "R", "T", "b"), ("T", "a", "Q", "T", "b"), ("S", "z", "R", "T", "a"), ("T", "gone", "R", "T", "a")], "type string, key string, relation string, target_type string, target_key string")
+    seen = []
+    assert graph.walk(nodes, lambda r: seen.append(r["key"]), edges, lambda r: seen.append(r["relation"])) == 3
+    assert seen == ["z", "R", "a", "Q", "R", "b"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +74,12 @@ class Problems:
         else:
             self.dropped += 1
 
+    def merge(self, other: Problems) -> None:
+        """The other's diagnostics too, within the limit."""
+        for p in other.found:
+            self.add(p.code, p.message, p.source, p.line, p.severity)
+        self.dropped += other.dropped
+
     @property
     def ok(self) -> bool:
         return not any(p.severity in ("fatal", "error") for p in self.found)
@@ -84,6 +91,26 @@ class Problems:
         return sorted(self.found, key=lambda p: (p.source, p.line, p.code, SEVERITIES.index(p.severity), p.message))
 
 
+def render_text(problems: Problems) -> str:
+    """A line per diagnostic, in order of place: source:line: severity[code]: message; and how many there were no room for."""
+    lines = []
+    for p in problems.sorted():
+        place = ":".join(x for x in (p.source, str(p.line) if p.line else "") if x)
+        lines.append(f"{place}: {p.severity}[{p.code}]: {p.message}" if place else f"{p.severity}[{p.code}]: {p.message}")
+    if problems.dropped:
+        lines.append(f"{problems.dropped} more not shown")
+    return "\n".join(lines)
+
+
+def render_json(problems: Problems, indent: int | None = None) -> str:
+    """{"issues": [{"severity", "code", "category", "message", "source", "line"}, ...], "dropped": n}; what is not known is left out."""
+    issues = []
+    for p in problems.sorted():
+        full = {"severity": p.severity, "code": p.code, "category": CATEGORY[p.code], "message": p.message, "source": p.source, "line": p.line}
+        issues.append({k: v for k, v in full.items() if v not in ("", 0)})
+    return json.dumps({"issues": issues, "dropped": problems.dropped}, indent=indent, ensure_ascii=False)
+
+
 class SchemaError(ValueError):
     def __init__(self, problems: Problems):
         self.problems = problems

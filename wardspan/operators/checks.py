@@ -55,6 +55,7 @@ def _bounds(c: Constraint) -> str:
 
 
 MISMATCH, FAIL = "E_TYPE_MISMATCH", "E_CONSTRAINT_FAIL"
+ELEMENT_FAILS = "an element fails"
 
 
 def violations(c: Constraint, value: Column) -> list[tuple[Column, str, str]]:
@@ -83,7 +84,7 @@ def violations(c: Constraint, value: Column) -> list[tuple[Column, str, str]]:
     if c.kind == "List":
         ok = _between(F.size(value), c.low, c.high)
         own = [(~ok, FAIL, f"length not in {_bounds(c)}")] if ok is not None else []
-        return own + [(F.exists(value, lambda x: x.isNotNull() & _any(c.element, x)), FAIL, "an element fails")] if violations(c.element, F.lit(None).cast(kind_of(c.element).spark())) else own
+        return own + [(F.exists(value, lambda x: x.isNotNull() & _any(c.element, x)), FAIL, ELEMENT_FAILS)] if violations(c.element, F.lit(None).cast(kind_of(c.element).spark())) else own
     return [] if c.kind == "Boolean" else [(F.lit(True), MISMATCH, f"data type {c.name} is unknown")]
 
 

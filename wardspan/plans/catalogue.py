@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..diag import of_category
 from ..functions.compiler import BOOL, FLOAT, INT, STR, Kind, compile_text, list_kind
 from ..operators import checks, graph
-from ..operators.validate import coerce, issue_rows, key_string, split, validate
+from ..operators.validate import coerce, issue_rows, key_string, split, validate, validate_children
 from ..schema.model import Constraint
 from ..sources import json_read, json_write
 from .tables import BINDINGS, bound, day, shop, table, target, text
@@ -39,9 +39,10 @@ NAMES: dict[str, dict[str, tuple[str, Kind]]] = {
     "nation": {"name": ("n_name", STR), "region": ("n_regionkey", INT), "key": ("n_nationkey", INT)},
     "customer": {"name": ("c_name", STR), "balance": ("c_acctbal", FLOAT), "segment": ("c_mktsegment", STR), "nation": ("c_nationkey", INT), "odd": ("c_custkey % 2 = 1", BOOL), "gap": ("case when c_custkey % 3 <> 0 then c_acctbal end", FLOAT), "nick": ("case when c_custkey % 4 <> 0 then c_mktsegment end", STR), "whole": ("case when c_custkey % 5 <> 0 then c_nationkey end", INT)},
     "part": {"name": ("p_name", STR), "size": ("p_size", INT), "price": ("p_retailprice", FLOAT), "brand": ("p_brand", STR), "words": ("split(p_name, ' ')", WORDS), "more": ("array(p_type, p_brand, p_type)", WORDS), "sizes": ("array(p_size, p_size % 7, 10 - p_size)", list_kind(INT)), "holes": ("array(p_name, case when p_size % 2 = 0 then p_type end)", WORDS), "nested": ("array(split(p_name, ' '), array(p_brand))", list_kind(WORDS))},
+    "supplier": {"at": ("struct(s_suppkey as id, s_name as Label, struct(s_nationkey as nation) as home)", Kind("struct", fields=(("id", INT), ("Label", STR), ("home", Kind("struct", fields=(("nation", INT),)))))), "balance": ("s_acctbal", FLOAT)},
     "lineitem": {"price": ("l_extendedprice", FLOAT), "quantity": ("l_quantity", FLOAT), "line": ("l_linenumber", INT), "part": ("l_partkey", INT), "supplier": ("l_suppkey", INT), "discount": ("l_discount", FLOAT)},
 }
-KEYS = {"nation": "n_nationkey", "customer": "c_custkey", "part": "p_partkey", "lineitem": "l_orderkey"}
+KEYS = {"nation": "n_nationkey", "customer": "c_custkey", "part": "p_partkey", "lineitem": "l_orderkey", "supplier": "s_suppkey"}
 
 
 def expression_query(table_name: str, expression: str, result: str = "string") -> Query:
@@ -93,6 +94,10 @@ expressions(
         ("op_ge", "customer", "balance >= 5000.0", "c_acctbal >= 5000"),
         ("op_le_int_float", "customer", "nation <= balance", "c_nationkey <= c_acctbal"),
         ("op_in", "customer", "segment in [\"BUILDING\", \"MACHINERY\"]", "c_mktsegment IN ('BUILDING', 'MACHINERY')"),
+        ("op_member", "supplier", "at.id + at.home.nation", "s_suppkey + s_nationkey"),
+        ("op_member_folded", "supplier", "at.label -> Upper", "upper(s_name)"),
+        ("op_member_missing", "supplier", "at.nowhere == nil", "true"),
+        ("op_method_chain", "supplier", 'at.label -> Substring(0, 4) -> Lower', "lower(substr(s_name, 1, 4))"),
         ("op_match", "customer", "name =~ /0[13579]$/", "regexp_matches(c_name, '0[13579]$')"),
         ("op_match_nil", "customer", "nick =~ /^B/", "regexp_matches(" + NICK + ", '^B') FAILED " + NICK + " IS NULL"),
         ("op_not_match", "customer", "segment !~ /^[A-H]/", "NOT regexp_matches(c_mktsegment, '^[A-H]')"),
@@ -274,6 +279,46 @@ def chk_required(spark, sf_dir):
     return by_code(validated(spark, sf_dir, "Customer", segment=F.expr("case when c_custkey % 4 <> 0 then c_mktsegment end"))).filter("code = 'E_MISSING_REQUIRED'")
 
 
+MIXED = 'schema "mixed" type M { k String primary  a Integer  b Integer  c Float  d Boolean  words List<String[1, 6]>[_, 2] }'
+
+
+def mixed(spark, sf_dir, **columns: str | Column) -> DataFrame:
+    from ..schema.load import load_string
+
+    return validate(table(spark, sf_dir, "part"), load_string(MIXED, "mixed"), "M", {"k": text("p_partkey")} | columns)
+
+
+@add("chk_type_mismatch", "SELECT 'E_TYPE_MISMATCH' AS code, property, count(*)::BIGINT AS n FROM (SELECT 'a' AS property FROM part WHERE TRY_CAST(p_name AS BIGINT) IS NULL UNION ALL SELECT 'b' FROM part WHERE p_retailprice <> floor(p_retailprice) UNION ALL SELECT 'c' FROM part WHERE TRY_CAST(p_brand AS DOUBLE) IS NULL) GROUP BY property")
+def chk_type_mismatch(spark, sf_dir):
+    """A text under Integer, a number with a fraction under Integer, a text under Float."""
+    return issue_rows(mixed(spark, sf_dir, a="p_name", b="p_retailprice", c="p_brand")).groupBy("code", "property").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("chk_boolean", "SELECT 'E_TYPE_MISMATCH' AS code, count(*)::BIGINT AS n FROM part WHERE p_size % 3 = 0")
+def chk_boolean(spark, sf_dir):
+    """true and false as texts are booleans, other texts aren't."""
+    said = F.expr("case p_size % 3 when 0 then 'perhaps' when 1 then 'true' else 'false' end")
+    return issue_rows(mixed(spark, sf_dir, d=said)).filter("property = 'd'").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("list_issue_index", "SELECT p_partkey::BIGINT AS k, '$.words[' || (CASE WHEN length(w[1]) > 6 THEN 0 ELSE 1 END) || ']' AS path FROM (SELECT p_partkey, string_split(p_name, ' ')[1:2] AS w FROM part) WHERE length(w[1]) > 6 OR length(w[2]) > 6")
+def list_issue_index(spark, sf_dir):
+    out = mixed(spark, sf_dir, words=F.slice(F.split("p_name", " "), 1, 2))
+    return out.select(F.col("p_partkey").alias("k"), F.explode("_issues").alias("i")).select("k", F.col("i.path").alias("path"))
+
+
+@add("case_fold_collision", "SELECT 'E_CASE_FOLD_COLLISION' AS code, '$.name' AS path, count(*)::BIGINT AS n FROM nation")
+def case_fold_collision(spark, sf_dir):
+    df = table(spark, sf_dir, "nation").select(text("n_nationkey").alias("nation_key"), F.struct(F.col("n_name").alias("Name"), F.col("n_name").alias("NAME")).alias("s"))
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        found = issue_rows(validate(df.select("nation_key", "s.Name", "s.NAME"), shop(), "Nation")).filter("phase = 1").groupBy("code", "path").agg(F.count(F.lit(1)).alias("n"))
+        found.schema  # names are resolved while they are told apart by case  # noqa: B018
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    return found
+
+
 @add("phase_gating", "SELECT CASE WHEN c_custkey % 4 = 0 THEN 1 WHEN c_acctbal < 0 THEN 2 ELSE 0 END AS phase, count(*)::BIGINT AS n FROM customer GROUP BY 1")
 def phase_gating(spark, sf_dir):
     out = validated(spark, sf_dir, "Customer", segment=F.expr("case when c_custkey % 4 <> 0 then c_mktsegment end"))
@@ -352,49 +397,56 @@ for _name, _table, _expression, _sql in [
     SQL[_name] = _sql
 
 
-@add("inv_order_dates", "SELECT o_orderkey::BIGINT AS k FROM orders WHERE o_orderdate < DATE '1995-01-01'" + ORDER_OK)
+@add("inv_order_dates", "SELECT o_orderkey::BIGINT AS k FROM orders WHERE o_orderdate - INTERVAL 300 DAY < DATE '1995-01-01'" + ORDER_OK)
 def inv_order_dates(spark, sf_dir):
-    return validated(spark, sf_dir, "Order").filter(F.exists("_issues", lambda i: i["message"] == "recent")).select(F.col("o_orderkey").alias("k"))
+    """The dates set back by 300 days, so that some are before the year that the invariant names."""
+    earlier = F.date_format(F.date_sub(F.col("o_orderdate").cast("date"), 300), "yyyy-MM-dd")
+    return validated(spark, sf_dir, "Order", order_date=earlier).filter(F.exists("_issues", lambda i: i["message"] == "recent")).select(F.col("o_orderkey").alias("k"))
 
 
 # References -----------------------------------------------------------------------------------------------------------
 
 
-def valid_nodes(spark, sf_dir, type_name: str, condition: str | None = None) -> DataFrame:
-    source = table(spark, sf_dir, BINDINGS[type_name][0])
-    out, _ = split(validated(spark, sf_dir, type_name, source.filter(condition) if condition else source))
-    return out.select(F.lit(shop().type_id(type_name)).alias("type"), F.col("_key").alias("key"))
+ORDERS_OK = "(SELECT * FROM orders WHERE o_totalprice BETWEEN 0 AND 450000 AND o_orderstatus IN ('P', 'F', 'O') AND o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND o_orderdate >= DATE '1995-01-01' AND NOT (o_orderpriority = '1-URGENT' AND o_totalprice <= 1000))"
+
+
+def graph_of(spark, sf_dir, *types: str, conditions: dict[str, str] | None = None, **more) -> graph.Graph:
+    """Of the tables of these types; conditions pick rows, further columns replace those of the first type."""
+    inputs = {}
+    for t in types:
+        rows = table(spark, sf_dir, BINDINGS[t][0])
+        rows = rows.filter(conditions[t]) if t in (conditions or {}) else rows
+        inputs[t] = graph.Input(rows, bound(t) | (more if t == types[0] else {}), (KEYS_OF[t],))
+    return graph.build_graph(inputs, shop())
 
 
-def references(spark, sf_dir, type_name: str, **more) -> DataFrame:
-    columns = bound(type_name) | more
-    good = validated(spark, sf_dir, type_name, **more)
-    return graph.references_of(good, shop(), type_name, columns)
+KEYS_OF = {"Region": "r_regionkey", "Nation": "n_nationkey", "Customer": "c_custkey", "Order": "o_orderkey"}
 
 
-@add("edge_customer_nation", "SELECT '[\"' || n_nationkey || '\"]' AS target_key, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@add("edge_customer_nation", "SELECT '[\"' || n_nationkey || '\"]' AS target_key, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0 GROUP BY 1")
 def edge_customer_nation(spark, sf_dir):
-    edges, _ = graph.resolve(references(spark, sf_dir, "Customer"), valid_nodes(spark, sf_dir, "Nation"))
+    edges = graph_of(spark, sf_dir, "Customer", "Nation").edges.filter("relation = 'NATION'")
     return edges.groupBy("target_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("edge_order_customer", "SELECT '[\"' || o_orderkey || '\"]' AS key, '[\"' || c_custkey || '\"]' AS target_key FROM orders JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0")
+@add("edge_order_customer", f"SELECT '[\"' || o_orderkey || '\"]' AS key, '[\"' || c_custkey || '\"]' AS target_key FROM {ORDERS_OK} JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0")
 def edge_order_customer(spark, sf_dir):
-    edges, _ = graph.resolve(references(spark, sf_dir, "Order"), valid_nodes(spark, sf_dir, "Customer"))
-    return edges.select("key", "target_key")
+    return graph_of(spark, sf_dir, "Order", "Customer").edges.filter("relation = 'CUSTOMER'").select("key", "target_key")
 
 
-@add("unresolved_target_missing", "SELECT '[\"' || o_orderkey || '\"]' AS key, '[\"' || o_custkey || '\"]' AS target_key, 'target_missing' AS reason FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3 AND c_acctbal >= 0)")
+@add("unresolved_target_missing", f"SELECT '[\"' || o_orderkey || '\"]' AS key, '[\"' || o_custkey || '\"]' AS target_key, 'target_missing' AS reason FROM {ORDERS_OK} WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3 AND c_acctbal >= 0)")
 def unresolved_target_missing(spark, sf_dir):
-    _, lost = graph.resolve(references(spark, sf_dir, "Order"), valid_nodes(spark, sf_dir, "Customer", "c_custkey % 10 <> 3"))
-    return lost.select("key", "target_key", "reason")
+    lost = graph_of(spark, sf_dir, "Order", "Customer", conditions={"Customer": "c_custkey % 10 <> 3"}).unresolved
+    return lost.filter("relation = 'CUSTOMER'").select("key", "target_key", "reason")
 
 
-@add("unresolved_absent", "SELECT '[\"' || o_orderkey || '\"]' AS key, 'absent' AS reason FROM orders WHERE o_orderkey % 11 = 0")
+SOME_CUSTOMERS = "case when o_orderkey % 11 <> 0 then cast(o_custkey as string) end"
+
+
+@add("unresolved_absent", f"SELECT '[\"' || o_orderkey || '\"]' AS key, 'absent' AS reason FROM {ORDERS_OK} WHERE o_orderkey % 11 = 0")
 def unresolved_absent(spark, sf_dir):
-    some = target(F.expr("case when o_orderkey % 11 <> 0 then cast(o_custkey as string) end"), "cust_key")
-    _, lost = graph.resolve(references(spark, sf_dir, "Order", CUSTOMER=some), valid_nodes(spark, sf_dir, "Customer"))
-    return lost.filter("reason = 'absent'").select("key", "reason")
+    lost = graph_of(spark, sf_dir, "Order", "Customer", CUSTOMER=target(F.expr(SOME_CUSTOMERS), "cust_key")).unresolved
+    return lost.filter("reason = 'absent' and relation = 'CUSTOMER'").select("key", "reason")
 
 
 MANY_TEXT = """
@@ -419,10 +471,10 @@ def orders_with_parts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").select(text("o_orderkey").alias("order_key"), F.coalesce("parts", none).alias("parts"))
 
 
-@add("edge_many_to_many", "SELECT '[\"' || l_partkey || '\"]' AS target_key, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
+@add("edge_many_to_many", "SELECT '[\"' || l_partkey || '\"]' AS target_key, count(*)::BIGINT AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity NOT BETWEEN 1 AND 40) AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
 def edge_many_to_many(spark, sf_dir):
     schema = many_schema()
-    orders = validate(orders_with_parts(spark, sf_dir), schema, "Order")
+    orders, _ = split(validate(orders_with_parts(spark, sf_dir), schema, "Order", cap=1))
     parts = table(spark, sf_dir, "part").select(F.lit(schema.type_id("Part")).alias("type"), key_string([text("p_partkey")]).alias("key"))
     edges, _ = graph.resolve(graph.references_of(orders, schema, "Order"), parts)
     return edges.groupBy("target_key").agg(F.count(F.lit(1)).alias("n"))
@@ -430,22 +482,51 @@ def edge_many_to_many(spark, sf_dir):
 
 @add("edge_properties", "SELECT 'E_CONSTRAINT_FAIL' AS code, 'quantity' AS property, count(*)::BIGINT AS n FROM lineitem WHERE l_quantity NOT BETWEEN 1 AND 40 HAVING count(*) > 0")
 def edge_properties(spark, sf_dir):
-    out = validate(orders_with_parts(spark, sf_dir), many_schema(), "Order", cap=10_000)
-    return issue_rows(out).groupBy("code", "property").agg(F.count(F.lit(1)).alias("n"))
+    lines = table(spark, sf_dir, "lineitem").select(text("l_orderkey").alias("order_key"), F.array(F.struct(text("l_partkey").alias("_target_part_key"), F.col("l_quantity").alias("quantity"))).alias("parts"))  # a row per edge
+    return issue_rows(validate(lines, many_schema(), "Order")).groupBy("code", "property").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("unresolved_empty", "SELECT '[\"' || o_orderkey || '\"]' AS key, 'empty' AS reason FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def unresolved_empty(spark, sf_dir):
     schema = many_schema()
-    refs = graph.references_of(validate(orders_with_parts(spark, sf_dir), schema, "Order"), schema, "Order")
+    refs = graph.references_of(split(validate(orders_with_parts(spark, sf_dir), schema, "Order"))[0], schema, "Order")
     return refs.filter("reason = 'empty'").select("key", "reason")
 
 
-@add("graph_check", "SELECT 'E_UNRESOLVED_REQUIRED' AS code, reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'absent' WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) THEN 'target_missing' END AS reason FROM orders) WHERE reason IS NOT NULL GROUP BY reason")
+@add("graph_check", f"SELECT 'E_UNRESOLVED_REQUIRED' AS code, reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'absent' WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) THEN 'target_missing' END AS reason FROM {ORDERS_OK}) WHERE reason IS NOT NULL GROUP BY reason")
 def graph_check(spark, sf_dir):
-    some = target(F.expr("case when o_orderkey % 11 <> 0 then cast(o_custkey as string) end"), "cust_key")
-    _, lost = graph.resolve(references(spark, sf_dir, "Order", CUSTOMER=some), valid_nodes(spark, sf_dir, "Customer"))
-    return graph.completeness(lost).groupBy("code", "reason").agg(F.count(F.lit(1)).alias("n"))
+    built = graph_of(spark, sf_dir, "Order", "Customer", "Nation", conditions={"Nation": "n_nationkey >= 0"}, CUSTOMER=target(F.expr(SOME_CUSTOMERS), "cust_key"))
+    return built.check().filter("relation = 'CUSTOMER'").groupBy("code", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+REPEATED = "SELECT * FROM customer UNION ALL SELECT c_custkey, 'Customer#again', 0, (c_nationkey + 1) % 25, 500.0, 'BUILDING' FROM customer WHERE c_custkey % 8 = 0"
+
+
+def repeated_graph(spark, sf_dir) -> graph.Graph:
+    """Customers of which every eighth comes once more, later, with another nation."""
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", F.lit(0).alias("turn"))
+    again = own.filter("c_custkey % 8 = 0").withColumns({"c_name": F.lit("Customer#again"), "c_nationkey": ((F.col("c_nationkey") + 1) % 25).cast(own.schema["c_nationkey"].dataType), "c_acctbal": F.lit(500.0), "turn": F.lit(1)})
+    inputs = {"Customer": graph.Input(own.unionByName(again), bound("Customer"), ("turn",)), "Nation": graph.Input(table(spark, sf_dir, "nation"), bound("Nation"), ("n_nationkey",)), "Region": graph.Input(table(spark, sf_dir, "region"), bound("Region"), ("r_regionkey",))}
+    return graph.build_graph(inputs, shop())
+
+
+@add("graph_duplicates", "SELECT '[\"' || c_custkey || '\"]' AS key, 2 AS nth, 'Customer#again' AS rejected, c_name AS kept, 'E_DUPLICATE_PK' AS code FROM customer WHERE c_custkey % 8 = 0 AND c_acctbal >= 0")
+def graph_duplicates(spark, sf_dir):
+    built = repeated_graph(spark, sf_dir)
+    codes = built.issues.filter("code = 'E_DUPLICATE_PK'").select("key", "code").distinct()
+    return built.duplicates.join(codes, "key").select("key", "nth", F.get_json_object("instance", "$.name").alias("rejected"), F.get_json_object("conflict", "$.name").alias("kept"), "code")
+
+
+@add("graph_duplicates_have_no_edges", "SELECT '[\"' || c_custkey || '\"]' AS key, '[\"' || CASE WHEN c_acctbal >= 0 THEN c_nationkey ELSE (c_nationkey + 1) % 25 END || '\"]' AS target_key FROM customer WHERE c_acctbal >= 0 OR c_custkey % 8 = 0")
+def graph_duplicates_have_no_edges(spark, sf_dir):
+    return repeated_graph(spark, sf_dir).edges.filter("relation = 'NATION'").select("key", "target_key")
+
+
+@add("graph_issue_codes", "SELECT code, count(*)::BIGINT AS n FROM (SELECT 'E_DUPLICATE_PK' AS code FROM customer WHERE c_custkey % 8 = 0 AND c_acctbal >= 0 UNION ALL SELECT unnest(['E_GRAPH_TYPE_NOT_FOUND', 'E_GRAPH_INVALID_COMPOSITION'])) GROUP BY code")
+def graph_issue_codes(spark, sf_dir):
+    built = repeated_graph(spark, sf_dir)
+    wrong = graph.build_graph({"Nowhere": graph.Input(table(spark, sf_dir, "region")), "Item": graph.Input(table(spark, sf_dir, "region"))}, shop())
+    return built.issues.unionByName(wrong.issues).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 def grades(spark, sf_dir) -> DataFrame:
@@ -463,10 +544,9 @@ def fk_partial_composite(spark, sf_dir):
     return issue_rows(validate(grades(spark, sf_dir), many_schema(), "Grade")).filter("code = 'E_PARTIAL_COMPOSITE_FK'").select("key")
 
 
-@add("semi_join_resolved", "SELECT c_custkey::BIGINT AS k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@add("semi_join_resolved", f"SELECT o_orderkey::BIGINT AS k FROM {ORDERS_OK} WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
 def semi_join_resolved(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_semi").select(F.col("c_custkey").alias("k"))
+    return graph_of(spark, sf_dir, "Order", "Customer").with_edge("Order", "CUSTOMER").select(F.col("o_orderkey").alias("k"))
 
 
 # Duplicates, children, snapshots --------------------------------------------------------------------------------------
@@ -493,10 +573,33 @@ def order_items(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").join(items, "o_orderkey", "left")
 
 
-@add("compose_order_items", "SELECT o_orderkey::BIGINT AS k, count(l_orderkey)::BIGINT AS items, coalesce(max(l_linenumber), 0)::BIGINT AS last FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+ITEMS = """
+schema "items"
+type Order { order_key String primary  *-> ITEMS (_:many) Item  *-> FIRST (_:one) Item }
+part type Item { line Integer required  *-> MARKS (_:many) Mark }
+part type Mark { flag Enum["A", "N"] required }
+type Bill { order_key String primary  *-> LINES (_:many) BillLine }
+part type BillLine { line_key String primary }
+"""
+
+
+def items_schema():
+    from ..schema.load import load_string
+
+    return load_string(ITEMS, "items")
+
+
+def children_of_orders(spark, sf_dir) -> DataFrame:
+    checked, _ = split(validate(order_items(spark, sf_dir), shop(), "Order", {"order_key": text("o_orderkey"), "status": "o_orderstatus", "priority": "o_orderpriority", "total": "o_totalprice", "order_date": day("o_orderdate"), "ITEMS": "items"}))
+    return graph.children_of(checked, shop(), "Order", "ITEMS", {"ITEMS": "items"})
+
+
+GOOD_LINES = f"(SELECT lineitem.* FROM lineitem JOIN {ORDERS_OK} ON o_orderkey = l_orderkey WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.09 OR NOT (l_quantity < 49 OR l_discount < 0.05)))"
+
+
+@add("compose_order_items", f"SELECT '[\"' || l_orderkey || '\"]' AS parent_key, count(*)::BIGINT AS items, max(l_linenumber)::BIGINT AS last FROM {GOOD_LINES} GROUP BY 1")
 def compose_order_items(spark, sf_dir):
-    out = order_items(spark, sf_dir)
-    return out.select(F.col("o_orderkey").alias("k"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("items"), F.coalesce(F.array_max("items.line"), F.lit(0)).cast("long").alias("last"))
+    return children_of_orders(spark, sf_dir).groupBy("parent_key").agg(F.count(F.lit(1)).alias("items"), F.max("child.line").alias("last"))
 
 
 @add(
@@ -504,20 +607,36 @@ def compose_order_items(spark, sf_dir):
     "SELECT code, count(*)::BIGINT AS n FROM (SELECT CASE WHEN l_discount > 0.09 THEN 'E_CONSTRAINT_FAIL' WHEN NOT (l_quantity < 49 OR l_discount < 0.05) THEN 'E_INVARIANT_FAIL' END AS code FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= DATE '1995-01-01' AND NOT (o_orderpriority = '1-URGENT' AND o_totalprice <= 1000)" + ORDER_OK + ") WHERE code IS NOT NULL GROUP BY code",
 )
 def composed_child_issues(spark, sf_dir):
-    out = validate(order_items(spark, sf_dir), shop(), "Order", bound("Order") | {"ITEMS": "items"}, cap=10_000)
+    out = validate(order_items(spark, sf_dir), shop(), "Order", bound("Order") | {"ITEMS": "items"}, cap=2**31 - 1)  # a row's issues are as many as its children
     return issue_rows(out).filter("phase = 5").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("dup_composed_pk", "SELECT l_orderkey::BIGINT AS k FROM lineitem GROUP BY l_orderkey HAVING count(*) > count(DISTINCT l_linenumber)")
+def keyed_items(spark, sf_dir) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").groupBy(text("l_orderkey").alias("order_key")).agg(F.collect_list(F.struct(text("l_linenumber").alias("line_key"))).alias("lines"))
+    return validate(items, items_schema(), "Bill")
+
+
+@add("dup_composed_pk", "SELECT '[\"' || l_orderkey || '\"]' AS key, 'E_DUPLICATE_COMPOSED_PK' AS code, '$.lines' AS path FROM lineitem GROUP BY l_orderkey HAVING count(*) > count(DISTINCT l_linenumber)")
 def dup_composed_pk(spark, sf_dir):
-    out = order_items(spark, sf_dir).filter(F.size(F.array_distinct("items.line")) < F.size("items"))
-    return out.select(F.col("o_orderkey").alias("k"))
+    return issue_rows(keyed_items(spark, sf_dir)).select("key", "code", "path")
 
 
 @add("one_cardinality", "SELECT l_orderkey::BIGINT AS k, (count(*) - 1)::BIGINT AS rejected FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def one_cardinality(spark, sf_dir):
-    _, rest = graph.dedup(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", *LINE_ORDER])
-    return rest.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("rejected"))
+    children = table(spark, sf_dir, "lineitem").select(key_string([text("l_orderkey")]).alias("parent_key"), text("l_linenumber").alias("key"), "l_orderkey")
+    parents = table(spark, sf_dir, "lineitem").select(key_string([text("l_orderkey")]).alias("key")).distinct()
+    _, issues = graph.attach(children, parents, items_schema(), "Order", "FIRST", ["key"])
+    number = F.regexp_extract("parent_key", "([0-9]+)", 1).cast("long")
+    return issues.filter("code = 'E_DUPLICATE_COMPOSED_PK'").groupBy(number.alias("k")).agg(F.count(F.lit(1)).alias("rejected"))
+
+
+@add("nested_children", "SELECT 'E_CONSTRAINT_FAIL' AS code, '$.items[0].marks[1].flag' AS path, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') HAVING count(*) > 0")
+def nested_children(spark, sf_dir):
+    """A row per line: an order with one item, which has two marks; the second one's flag may be none of the enum's."""
+    flag = lambda c: F.struct(c.alias("flag"))
+    item = F.struct(F.col("l_linenumber").alias("line"), F.array(flag(F.lit("A")), flag(F.col("l_returnflag"))).alias("marks"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("order_key"), F.array(item).alias("items"))
+    return issue_rows(validate(rows, items_schema(), "Order")).groupBy("code", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("late_children", "SELECT CASE WHEN o_orderkey IS NULL THEN 'E_GRAPH_PARENT_NOT_FOUND' ELSE 'attached' END AS code, count(*)::BIGINT AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 <> 0) ON o_orderkey = l_orderkey GROUP BY 1")
@@ -528,22 +647,36 @@ def late_children(spark, sf_dir):
     return there.select(F.lit("attached").alias("code")).unionByName(issues.select("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("compose_conversation_turns", "SELECT conv_id::BIGINT AS k, count(*)::BIGINT AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
+def conversations(spark, sf_dir) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return validate(turns, shop(), "Conversation", {"conv_id": text("conv_id"), "TURNS": "turns"}, cap=1)
+
+
+@add("compose_conversation_turns", "SELECT '[\"' || conv_id || '\"]' AS parent_key, count(*)::BIGINT AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id HAVING bool_and(coalesce(role IN ('user', 'assistant', 'system') AND length(text) >= 1 AND turn IS NOT NULL, false))")
 def compose_conversation_turns(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("k")).agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    return turns.select("k", F.size("t").cast("long").alias("turns"), F.array_join("t.role", ",").alias("roles"))
+    good, _ = split(conversations(spark, sf_dir))
+    turns = graph.children_of(good, shop(), "Conversation", "TURNS", {"TURNS": "turns"})
+    told = F.array_sort(F.collect_list(F.struct("position", "child.role")))
+    return turns.groupBy("parent_key").agg(F.count(F.lit(1)).alias("turns"), told.alias("t")).select("parent_key", "turns", F.array_join("t.role", ",").alias("roles"))
 
 
 @add("validate_conversations", "SELECT conv_id::BIGINT AS k, (sum(CASE WHEN role NOT IN ('user', 'assistant', 'system') OR role IS NULL THEN 1 ELSE 0 END) + sum(CASE WHEN coalesce(length(text), 0) < 1 THEN 1 ELSE 0 END))::BIGINT AS issues FROM conversations GROUP BY 1")
 def validate_conversations(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
-    out = validate(turns, shop(), "Conversation", {"conv_id": text("conv_id"), "TURNS": "turns"}, cap=10_000)
-    return out.select(F.col("conv_id").alias("k"), F.size("_issues").cast("long").alias("issues"))
+    out = conversations(spark, sf_dir)
+    return out.select(F.col("conv_id").alias("k"), (F.size("_issues") + F.col("_dropped")).cast("long").alias("issues"))
 
 
-@add("explode_children", "SELECT l_orderkey::BIGINT AS k, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_partkey) - 1)::BIGINT AS at, l_partkey::BIGINT AS part FROM lineitem")
+@add("explode_children", f"SELECT '[\"' || l_orderkey || '\"]' AS parent_key, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_partkey) - 1)::BIGINT AS at, l_partkey::BIGINT AS part FROM {GOOD_LINES}")
 def explode_children(spark, sf_dir):
-    return order_items(spark, sf_dir).select(F.col("o_orderkey").alias("k"), F.posexplode("items").alias("at", "i")).select("k", F.col("at").cast("long").alias("at"), F.col("i.part").alias("part"))
+    return children_of_orders(spark, sf_dir).select("parent_key", F.col("position").cast("long").alias("at"), F.col("child.part").alias("part"))
+
+
+@add("composition_not_found", "SELECT 'E_COMPOSITION_NOT_FOUND' AS code, count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'E_CONSTRAINT_FAIL', count(*) FROM lineitem WHERE l_discount > 0.09")
+def composition_not_found(spark, sf_dir):
+    wrong = validate_children(table(spark, sf_dir, "nation"), shop(), "Order", "CUSTOMER")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("line"), F.lit(1.0).alias("quantity"), F.col("l_discount").alias("discount"))
+    right = validate_children(lines, shop(), "Order", "ITEMS")
+    return issue_rows(wrong).unionByName(issue_rows(right)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("composed_key", "SELECT '[[\"' || l_orderkey || '\"],\"ITEMS\",[\"' || l_linenumber || '\"]]' AS key, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
@@ -554,23 +687,22 @@ def composed_key(spark, sf_dir):
 
 @add("snapshot_nodes", "SELECT 'shop#Nation' AS type, '[\"' || n_nationkey || '\"]' AS key FROM nation UNION ALL SELECT 'shop#Region', '[\"' || r_regionkey || '\"]' FROM region")
 def snapshot_nodes(spark, sf_dir):
-    return graph.snapshot_nodes(valid_nodes(spark, sf_dir, "Nation").unionByName(valid_nodes(spark, sf_dir, "Region")))
+    return graph.snapshot_nodes(graph_of(spark, sf_dir, "Nation", "Region").nodes)
 
 
 @add("snapshot_edges", "SELECT 'shop#Nation' AS type, '[\"' || n_nationkey || '\"]' AS key, 'REGION' AS relation, 'shop#Region' AS target_type, '[\"' || n_regionkey || '\"]' AS target_key FROM nation")
 def snapshot_edges(spark, sf_dir):
-    edges, _ = graph.resolve(references(spark, sf_dir, "Nation"), valid_nodes(spark, sf_dir, "Region"))
-    return graph.snapshot_edges(edges).select("type", "key", "relation", "target_type", "target_key")
+    return graph.snapshot_edges(graph_of(spark, sf_dir, "Nation", "Region").edges).select("type", "key", "relation", "target_type", "target_key")
 
 
 @add("types_present", "SELECT 'shop#Nation' AS type UNION ALL SELECT 'shop#Region'")
 def types_present(spark, sf_dir):
-    return graph.types_present(valid_nodes(spark, sf_dir, "Nation").unionByName(valid_nodes(spark, sf_dir, "Region")))
+    return graph.types_present(graph_of(spark, sf_dir, "Nation", "Region").nodes)
 
 
 @add("instance_by_key", "SELECT 'shop#Customer' AS type, '[\"42\"]' AS key FROM customer WHERE c_custkey = 42 AND c_acctbal >= 0")
 def instance_by_key(spark, sf_dir):
-    return graph.instance_by_key(valid_nodes(spark, sf_dir, "Customer"), shop().type_id("Customer"), '["42"]')
+    return graph.instance_by_key(graph_of(spark, sf_dir, "Customer").nodes, shop().type_id("Customer"), '["42"]')
 
 
 # JSON in and out ------------------------------------------------------------------------------------------------------
@@ -588,6 +720,60 @@ def json_raw_issues(spark, sf_dir):
     return issue_rows(json_read.validate_raw(rows, props_schema(), "Props")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+PEOPLE = """
+schema "people"
+type P { id String primary  --> HOME (one) N { since Integer }  --> SEEN (many) N  *-> PHONES (_:many) Phone }
+type N { id String primary }
+part type Phone { no String primary  *-> CALLS (_:many) Call }
+part type Call { length Integer[0, 40] required }
+"""
+
+
+def people(spark, sf_dir, home: str, phones: str = "cast(null as string)", seen: str = "cast(null as string)") -> DataFrame:
+    """Issues of customers as JSON; home, phones and seen: SQL for the texts of these members, null for none."""
+    from ..schema.load import load_string
+
+    members = F.concat_ws(",", F.expr("""'"id":"' || c_custkey || '"'"""), F.expr(f"""'"home":' || ({home})"""), F.expr(f"""'"phones":' || ({phones})"""), F.expr(f"""'"seen":' || ({seen})"""))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.try_parse_json(F.concat(F.lit("{"), members, F.lit("}"))).alias("obj"))
+    return json_read.validate_raw(rows, load_string(PEOPLE, "people"), "P")
+
+
+@add("json_edge_shape", "SELECT 'E_EDGE_SHAPE_MISMATCH' AS code, path, count(*)::BIGINT AS n FROM (SELECT unnest(CASE c_custkey % 4 WHEN 0 THEN ['$.home'] WHEN 1 THEN ['$.home', '$.seen'] WHEN 2 THEN ['$.seen[1]'] ELSE []::VARCHAR[] END) AS path FROM customer) GROUP BY path")
+def json_edge_shape(spark, sf_dir):
+    out = people(spark, sf_dir, """case c_custkey % 4 when 0 then '"text"' when 1 then 'null' else '{"_target_id":"x"}' end""", seen="""case c_custkey % 4 when 1 then '{}' when 2 then '[{"_target_id":"x"},3]' else '[]' end""")
+    return issue_rows(out).groupBy("code", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("json_edge_unknown_field", "SELECT c_custkey::BIGINT AS k, CASE WHEN c_custkey % 3 = 0 THEN 'E_UNKNOWN_EDGE_FIELD' ELSE 'E_MISSING_FK_TARGET' END AS code, CASE WHEN c_custkey % 3 = 0 THEN '$.home.until' ELSE '$.home' END AS path FROM customer WHERE c_custkey % 3 < 2")
+def json_edge_unknown_field(spark, sf_dir):
+    out = people(spark, sf_dir, """case c_custkey % 3 when 0 then '{"_target_id":"x","SINCE":3,"until":4}' when 1 then '{"since":1}' else '{"_target_id":"x"}' end""")
+    return out.select(F.col("c_custkey").alias("k"), F.explode("_issues").alias("i")).select("k", "i.code", "i.path")
+
+
+@add("json_children", "SELECT CASE c_custkey % 4 WHEN 0 THEN 'E_CONSTRAINT_FAIL' WHEN 1 THEN 'E_DUPLICATE_COMPOSED_PK' ELSE 'E_EDGE_SHAPE_MISMATCH' END AS code, CASE c_custkey % 4 WHEN 0 THEN '$.phones[0].calls[1].length' WHEN 1 THEN '$.phones' ELSE '$.phones[0].calls' END AS path, count(*)::BIGINT AS n FROM customer WHERE c_custkey % 4 < 3 GROUP BY 1, 2")
+def json_children(spark, sf_dir):
+    out = people(spark, sf_dir, """'{"_target_id":"x"}'""", """case c_custkey % 4 when 0 then '[{"no":"1","calls":[{"length":40},{"length":41}]}]' when 1 then '[{"no":"1"},{"no":"1"}]' when 2 then '[{"no":"1","calls":{}}]' else '[{"no":"1","calls":[]}]' end""")
+    return issue_rows(out).groupBy("code", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("json_documents", "SELECT n_nationkey::BIGINT AS k, (length(n_name) * 100000)::BIGINT AS size, false AS broken FROM nation")
+def json_documents(spark, sf_dir):
+    """Documents with comments, trailing commas and strings of about a million characters."""
+    body = F.concat(F.lit('{ // a comment\n "name": ["'), F.repeat("n_name", F.lit(100_000)), F.lit('",], /* ** " */ }'))
+    docs = json_read.parsed(table(spark, sf_dir, "nation"), body)
+    return docs.select(F.col("n_nationkey").alias("k"), F.char_length(F.try_variant_get("doc", "$.name[0]", "string")).cast("long").alias("size"), "broken")
+
+
+@add("json_round_trip", "SELECT '[\"' || p_partkey || '\"]' AS key, p_name AS name, p_size::BIGINT AS size, p_retailprice AS price FROM part WHERE p_size <= 40 AND regexp_matches(p_brand, '^Brand#[0-9]$') AND (p_retailprice > 901 OR p_size < 10) AND length(p_name) BETWEEN 1 AND 25")
+def json_round_trip(spark, sf_dir):
+    """Valid parts written as JSON, read and validated again."""
+    columns = {k: F.col(v) if isinstance(v, str) else v for k, v in bound("Part").items()}
+    good, _ = split(validated(spark, sf_dir, "Part"))
+    lines = json_write.rows_json(good, shop(), "Part", columns, F.col("_key")).select(F.try_parse_json("json").alias("obj"))
+    again, _ = split(json_read.validate_raw(lines, shop(), "Part"))
+    return again.select(F.col("_key").alias("key"), "_values.name", "_values.size", "_values.price")
+
+
 @add("json_values", "SELECT event_id::BIGINT AS id, (props->>'k')::BIGINT AS k FROM events")
 def json_values(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("obj"))
@@ -624,16 +810,18 @@ def graph_json_children(spark, sf_dir):
     return turns.select(F.col("conv_id").alias("k"), json_write.instance_json(shop(), "Conversation", columns).alias("json"))
 
 
-@add("diagnostics_json", """SELECT 'unresolved' AS section, '{"type":"shop#Customer","key":"[\\"' || c_custkey || '\\"]","relation":"NATION","target_type":"shop#Nation","target_key":"[\\"7\\"]","reason":"target_missing"}' AS json FROM customer WHERE c_nationkey = 7""")
+@add("diagnostics_json", """SELECT 'unresolved' AS section, '["' || c_custkey || '"] target_missing ["' || c_nationkey || '"]' AS said FROM customer WHERE c_nationkey = 7 AND c_acctbal >= 0 UNION ALL SELECT 'duplicates', '["' || c_custkey || '"] Customer#again ' || c_name FROM customer WHERE c_custkey % 8 = 0 AND c_acctbal >= 0""")
 def diagnostics_json(spark, sf_dir):
-    _, lost = graph.resolve(references(spark, sf_dir, "Customer"), valid_nodes(spark, sf_dir, "Nation", "n_nationkey <> 7"))
-    return json_write.diagnostics_json(lost, lost.limit(0).select("type", "key"))
+    lost = graph_of(spark, sf_dir, "Customer", "Nation", conditions={"Nation": "n_nationkey <> 7"}).unresolved.filter("relation = 'NATION'")
+    rows = json_write.diagnostics_json(lost, repeated_graph(spark, sf_dir).duplicates)
+    of = lambda path: F.get_json_object("json", path)
+    inner = lambda field: F.get_json_object(of(f"$.{field}"), "$.name")
+    return rows.select("section", F.when(F.col("section") == "unresolved", F.concat_ws(" ", of("$.key"), of("$.reason"), of("$.target_key"))).otherwise(F.concat_ws(" ", of("$.key"), inner("instance"), inner("conflict"))).alias("said"))
 
 
 @add("edge_index", "SELECT '[\"' || n_nationkey || '\"]' AS key, 'REGION' AS relation, '[\"' || n_regionkey || '\"]' AS targets FROM nation")
 def edge_index(spark, sf_dir):
-    edges, _ = graph.resolve(references(spark, sf_dir, "Nation"), valid_nodes(spark, sf_dir, "Region"))
-    return json_write.edge_index(edges).select("key", "relation", F.array_join("targets", "|").alias("targets"))
+    return json_write.edge_index(graph_of(spark, sf_dir, "Nation", "Region").edges).select("key", "relation", F.array_join("targets", "|").alias("targets"))
 
 
 @add("issues_of_category", "SELECT 'E_INVARIANT_FAIL' AS code, count(*)::BIGINT AS n FROM customer WHERE c_acctbal < 0 HAVING count(*) > 0")
@@ -644,18 +832,36 @@ def issues_of_category(spark, sf_dir):
 # Metadata -------------------------------------------------------------------------------------------------------------
 
 
-@add("schema_members")
+# What the schema's text says of each type's properties (kind, primary, optional).
+MEMBERS_SQL = """SELECT * FROM (VALUES
+    ('Named', 'name', 'String', false, false),
+    ('Region', 'region_key', 'String', true, false), ('Region', 'name', 'String', false, false),
+    ('Nation', 'nation_key', 'String', true, false), ('Nation', 'name', 'String', false, false),
+    ('Customer', 'cust_key', 'String', true, false), ('Customer', 'acctbal', 'Float', false, true), ('Customer', 'segment', 'Enum', false, false), ('Customer', 'name', 'String', false, false),
+    ('Part', 'part_key', 'String', true, false), ('Part', 'brand', 'Pattern', false, false), ('Part', 'size', 'Integer', false, true), ('Part', 'price', 'Float', false, false), ('Part', 'name', 'String', false, false),
+    ('Order', 'order_key', 'String', true, false), ('Order', 'status', 'Enum', false, false), ('Order', 'priority', 'Enum', false, false), ('Order', 'total', 'Float', false, false), ('Order', 'order_date', 'Date', false, false),
+    ('Item', 'line', 'Integer', false, false), ('Item', 'quantity', 'Float', false, false), ('Item', 'discount', 'Float', false, true),
+    ('Line', 'line_key', 'String', true, false), ('Line', 'quantity', 'Float', false, false), ('Line', 'price', 'Float', false, false), ('Line', 'discount', 'Float', false, true), ('Line', 'tax', 'Float', false, true), ('Line', 'flag', 'Enum', false, false),
+    ('Event', 'event_id', 'String', true, false), ('Event', 'kind', 'Enum', false, false), ('Event', 'value', 'Float', false, false), ('Event', 'at', 'Timestamp', false, false),
+    ('Conversation', 'conv_id', 'String', true, false),
+    ('Turn', 'turn', 'Integer', false, false), ('Turn', 'role', 'Enum', false, false), ('Turn', 'text', 'String', false, false),
+    ('Embedding', 'vec_id', 'String', true, false), ('Embedding', 'embedding', 'Vector', false, false)
+) AS m(type, property, kind, "primary", optional)"""
+
+
+@add("schema_members", MEMBERS_SQL)
 def schema_members(spark, sf_dir):
     rows = [(t.name, p.name, p.constraint.kind, p.primary, p.optional) for t in shop().types.values() for p in t.all_properties]
     return spark.createDataFrame(rows, "type string, property string, kind string, primary boolean, optional boolean")
 
 
-@add("inheritance_linear")
+@add("inheritance_linear", "SELECT * FROM (VALUES ('Named', '', 'Customer,Nation,Part,Region'), ('Region', 'Named', ''), ('Nation', 'Named', ''), ('Customer', 'Named', ''), ('Part', 'Named', ''), ('Order', '', ''), ('Item', '', ''), ('Line', '', ''), ('Event', '', ''), ('Conversation', '', ''), ('Turn', '', ''), ('Embedding', '', '')) AS t(type, ancestors, subtypes)")
 def inheritance_linear(spark, sf_dir):
-    return spark.createDataFrame([(t.name, list(t.ancestors), shop().subtypes(t.name)) for t in shop().types.values()], "type string, ancestors array<string>, subtypes array<string>")
+    rows = [(t.name, ",".join(t.ancestors), ",".join(shop().subtypes(t.name))) for t in shop().types.values()]
+    return spark.createDataFrame(rows, "type string, ancestors string, subtypes string")
 
 
-@add("schema_errors")
+@add("schema_errors", "SELECT * FROM (VALUES ('E_INVALID_CONSTRAINT', 2), ('E_SYNTAX', 4)) AS e(code, line)")
 def schema_errors(spark, sf_dir):
     from ..diag import SchemaError
     from ..schema.load import load_string
@@ -664,19 +870,18 @@ def schema_errors(spark, sf_dir):
         load_string('schema "bad"\ntype A extends B { x Integer[9, 1] primary }\ntype A {}\ntype C { Vec Vector[0] }', "bad")
     except SchemaError as e:
         found = e.problems.sorted()
-    return spark.createDataFrame([(p.code, p.message, p.line) for p in found], "code string, message string, line int")
+    return spark.createDataFrame([(p.code, p.line) for p in found], "code string, line int")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' issues by code, unresolved references to nations among them."""
-    out = validated(spark, sf_dir, "Customer")
-    _, lost = graph.resolve(graph.references_of(out, shop(), "Customer", bound("Customer")), valid_nodes(spark, sf_dir, "Nation", "n_nationkey <> 7"))
-    own = issue_rows(out).select("code")
-    return own.unionByName(graph.completeness(lost).select("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code")
+    """Customers' issues by code, unresolved references of the valid ones to nations among them."""
+    built = graph_of(spark, sf_dir, "Customer", "Nation", conditions={"Nation": "n_nationkey <> 7"})
+    lost = built.check().filter("relation = 'NATION'").select("code")
+    return issue_rows(built.rejected["Customer"]).select("code").unionByName(lost).groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code")
 
 
 QUERIES["flagship"] = flagship
-SQL["flagship"] = "SELECT code, count(*)::BIGINT AS n FROM (SELECT 'E_INVARIANT_FAIL' AS code FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'E_UNRESOLVED_REQUIRED' FROM customer WHERE c_nationkey = 7) GROUP BY code"
+SQL["flagship"] = "SELECT code, count(*)::BIGINT AS n FROM (SELECT 'E_INVARIANT_FAIL' AS code FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'E_UNRESOLVED_REQUIRED' FROM customer WHERE c_nationkey = 7 AND c_acctbal >= 0) GROUP BY code"
 
 
 def queries() -> dict[str, Query]:

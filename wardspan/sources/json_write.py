@@ -50,7 +50,8 @@ def edge_index(edges: DataFrame) -> DataFrame:
 def diagnostics_json(unresolved: DataFrame, duplicates: DataFrame) -> DataFrame:
     """Rows (section, json) of what a graph leaves over."""
     lost = unresolved.select(F.lit("unresolved").alias("section"), F.to_json(F.struct("type", "key", "relation", "target_type", "target_key", "reason")).alias("json"))
-    return lost.unionByName(duplicates.select(F.lit("duplicates").alias("section"), F.to_json(F.struct("type", "key")).alias("json")))
+    told = [c for c in ("type", "key", "nth", "instance", "conflict") if c in duplicates.columns]
+    return lost.unionByName(duplicates.select(F.lit("duplicates").alias("section"), F.to_json(F.struct(*told)).alias("json")))
 
 
 def whole_json(rows: DataFrame) -> DataFrame:
