@@ -56,12 +56,47 @@ def test_few(spark, n):
     assert {q: [i for _, i in v] for q, v in got.items()} == ({} if n < 2 else {0: [100, 200], 100: [0, 200], 200: [100, 0]})
 
 
-def test_blocks_of_queries(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    rows = [(i * 20, [float(v) for v in rng.standard_normal(4)], 0) for i in range(200)]
-    whole = found(spark, rows)
-    monkeypatch.setattr(neighbours, "BLOCK", 7)
-    assert found(spark, rows) == whole
+def test_rounds_make_the_graph(spark, monkeypatch):
+    """Neighbours of neighbours find what the trees' leaves do not."""
+    monkeypatch.setattr(neighbours, "LEAF", 24)
+    monkeypatch.setattr(neighbours, "TREES", 1)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1200, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, x[i].tolist(), 0) for i in range(len(x))], ROWS)
+    nodes, _ = neighbours.nodes_of(neighbours.usable(df))
+    d = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    true = np.argsort(d, axis=1)[:, :10]
+
+    def recall(rounds):
+        near = {}
+        for r in neighbours.build_graph(nodes, rounds).collect():
+            near.setdefault(r["u"], []).append((r["d"], r["c"]))
+        return np.mean([len({c for _, c in sorted(near.get(i, []))[:10]} & set(true[i].tolist())) for i in range(len(x))]) / 10
+
+    assert recall(0) < 0.5 and recall(neighbours.ROUNDS) > 0.9
+
+
+def test_places_are_cut_to_leaves(spark, monkeypatch):
+    """Leaves hold every node of a place once, however many there are, copies of one vector too."""
+    x = np.random.default_rng(1).standard_normal((1000, 4)).astype(np.float32)
+    for rows in (x, np.ones((1000, 4), np.float32)):
+        leaves = list(neighbours._leaves(rows, 3, 60))
+        assert sorted(np.concatenate(leaves).tolist()) == list(range(1000)) and max(map(len, leaves)) <= 60
+    monkeypatch.setattr(neighbours, "PLACE", 50)
+    monkeypatch.setattr(neighbours, "LEAF", 30)
+    rows = [(i * 20, [float(v) for v in x[i]], 0) for i in range(400)]
+    want, got = brute(rows), found(spark, rows)
+    assert np.mean([len({i for _, i in want[q]} & {i for _, i in got[q]}) for q in want]) > 9.5
+
+
+def test_hubs_are_reduced_before_the_shuffle(spark):
+    """A node that all others are near to sends few rows."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(5000, np.int64)), pa.array(np.arange(5000)), pa.array(np.arange(5000, 0, -1).astype(float)), pa.array(np.ones(5000, np.int32))], ["u", "c", "d", "fresh"])
+    out = list(neighbours._fewer(iter([batch] * 3), 16))
+    assert sum(b.num_rows for b in out) == 16 and out[0].column("c").to_pylist() == list(range(4999, 4983, -1))
 
 
 def test_negative_zeros(spark):
