@@ -62,8 +62,20 @@ def test_shard_with_equal_first_hashes():
     t = pa.table({"h1": pa.array([5, 5, 6], pa.int64()), "h2": pa.array([1, 2, 1], pa.int64()), "n": pa.array([5, 6, 7], pa.int64()), "keep": pa.array([1, None, 3], pa.int64()), "shard": pa.array([0, 0, 0], pa.int64())})
     row = line_dedup._build_shard(t).to_pylist()[0]
     s = line_dedup.Shard(row["index_salt"], row["perfect"], row["prints"], row["counts"], row["keep"])
-    known, keep = s.keepers(np.array([5, 5, 6, 5, 9], np.uint64), np.array([1, 2, 1, 3, 1], np.uint64))
+    asked = np.array([5, 5, 6, 5, 9], np.uint64), np.array([1, 2, 1, 3, 1], np.uint64)
+    known, keep = s.keepers(*asked, 5)
     assert known.tolist() == [True, True, True, False, False] and keep.tolist() == [1, line_dedup.NO_ID, 3]
+    known, keep = s.keepers(*asked, 6)  # the counts tell
+    assert known.tolist() == [False, True, True, False, False] and keep.tolist() == [line_dedup.NO_ID, 3]
+    assert row["asked"] == 18
+
+
+def test_shards_in_parts(spark, monkeypatch):
+    """Shards that are asked often go to several tasks."""
+    monkeypatch.setattr(line_dedup, "ASKED", 3)
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    out = line_dedup.dedup_lines(df, broadcast_bytes=0, shard_keys=3)
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out.collect()) == brute(ROWS)
 
 
 def test_query_matches_sql(spark, sf_dir):

@@ -2,15 +2,19 @@
 
 1. Every eligible line (key of ``min_chars`` code points or more) of every document yields two independent 64-bit hashes;
    Spark counts documents and the largest id per pair, combining before the shuffle, so a line found everywhere is no hot key.
-2. Pairs found in ``min_docs`` documents or more are dealt to shards. A shard's minimal perfect hash (levels of bit arrays, a
-   key's place is the rank of its bit) indexes compact arrays: fingerprint (the second hash), document count, id to keep.
-3. Documents probe the arrays. A line that isn't in the index hits some place too, where the fingerprint tells it apart.
+2. All distinct pairs are dealt to shards. A shard's minimal perfect hash (levels of bit arrays, a key's place is the rank of its
+   bit) indexes compact arrays: fingerprint (the second hash), document count, id to keep.
+3. Documents probe the arrays: a line goes where the fingerprint is its own, the count is ``min_docs`` or more and the id isn't the
+   document's. A line that isn't in the index hits some place too, where the fingerprint tells it apart.
    An index of up to ``broadcast_bytes`` goes to every executor; a larger one stays in shards, to which hashes of the lines
-   (never lines) are sent, salted by document, and only the pairs to drop come back. Both ways give the same rows.
+   (never lines) are sent, and only the pairs to drop come back. A shard that is asked more than ``ASKED`` times is sent to several
+   tasks, and probes pass through a task in batches, so neither a frequent line nor a large shard gathers anywhere. Both ways give
+   the same rows.
 
 A line's key: white space stripped at both ends, A-Z lower-cased. A repeated key loses its lines in all documents but those
 with the largest id holding it. Rows count as documents; rows with that same largest id all keep theirs; a null id is below
-all others. A null or empty text is one empty line. An empty table gives an empty result. Other columns pass through.
+all others. A null or empty text is one empty line. A long text is split as a whole, in memory of a few times its size. An empty
+table gives an empty result. Other columns pass through, whatever their names; n_lines and n_dropped replace columns so named.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from .common import BLANKS, binary, cut, eq_null_safe, free_name, map_arrow, mix
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 65_536
 BROADCAST_BYTES = 48 << 20
+#: Probes that one task answers for a shard, about.
+ASKED = 1 << 20
 #: Bits of a level for each key that is still without a place.
 GAMMA = 2
 NO_ID = -(1 << 63)
@@ -122,11 +128,11 @@ class Shard:
         self.salt, self.perfect = salt, PerfectHash.from_bytes(perfect)
         self.fingerprints, self.counts, self.keep = np.frombuffer(fingerprints, np.uint64), np.frombuffer(counts, np.uint32), np.frombuffer(keep, np.int64)
 
-    def keepers(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hash pairs are in the index, and for those the id that keeps its lines."""
+    def keepers(self, h1: np.ndarray, h2: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which hash pairs are in the index and in so many documents, and for those the id that keeps its lines."""
         at = self.perfect.places(_salted(h1, h2, self.salt))
         known = at >= 0
-        known[known] = self.fingerprints[at[known]] == h2[known]
+        known[known] = (self.fingerprints[at[known]] == h2[known]) & (self.counts[at[known]] >= min_docs)
         return known, self.keep[at[known]]
 
 
@@ -139,11 +145,17 @@ def _shard_of(h1: np.ndarray, n_shards: int) -> np.ndarray:
     return (mixed(h1, 77) % np.uint64(n_shards)).astype(np.int64)
 
 
-def _with_shard(batches: Iterator[pa.RecordBatch], n_shards: int, salts: int) -> Iterator[pa.RecordBatch]:
+def _with_shard(batches: Iterator[pa.RecordBatch], n_shards: int, parts=None) -> Iterator[pa.RecordBatch]:
+    """parts: for shards that are asked much, in how many parts; the id's hash picks one."""
+    often = np.array(sorted(parts.value.items()) if parts else [], np.int64).reshape(-1, 2)
     for b in batches:
         shard = _shard_of(b.column("h1").to_numpy(zero_copy_only=False).view(np.uint64), n_shards)
-        ids = b.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).view(np.uint64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard), pa.array((mixed(ids, 5) % np.uint64(salts)).astype(np.int64))], [*b.schema.names, "shard", "salt"])
+        part = np.zeros(len(shard), np.int64)
+        if len(often):
+            at = np.minimum(np.searchsorted(often[:, 0], shard), len(often) - 1)
+            ids = b.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).view(np.uint64)
+            part = np.where(often[at, 0] == shard, (mixed(ids, 5) % often[at, 1].astype(np.uint64)).astype(np.int64), 0)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard), pa.array(part)], [*b.schema.names, "shard", "part"])
 
 
 def _build_shard(t: pa.Table) -> pa.Table:
@@ -156,20 +168,21 @@ def _build_shard(t: pa.Table) -> pa.Table:
     prints, counts, keep = np.empty(len(h1), np.uint64), np.empty(len(h1), np.uint32), np.empty(len(h1), np.int64)
     prints[at], counts[at] = h2, np.minimum(t.column("n").to_numpy(), 0xFFFFFFFF)
     keep[at] = t.column("keep").fill_null(NO_ID).to_numpy()
-    return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64()), "index_salt": pa.array([salt], pa.int64()), "perfect": pa.array([perfect.to_bytes()], pa.binary()), "prints": pa.array([prints.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "keep": pa.array([keep.tobytes()], pa.binary())})
+    asked = int(t.column("n").to_numpy().sum())
+    return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64()), "asked": pa.array([asked], pa.int64()), "index_salt": pa.array([salt], pa.int64()), "perfect": pa.array([perfect.to_bytes()], pa.binary()), "prints": pa.array([prints.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "keep": pa.array([keep.tobytes()], pa.binary())})
 
 
-SHARDS = "shard long, index_salt long, perfect binary, prints binary, counts binary, keep binary"
+SHARDS = "shard long, asked long, index_salt long, perfect binary, prints binary, counts binary, keep binary"
 
 
-def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
-    """The written shards, their number and the number of lines in them."""
+def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
+    """The written shards, their number and the number of distinct lines in them."""
     small_batches(docs.sparkSession)
     seen = map_arrow(docs.select(F.col("doc_id").cast("long"), binary("text")), partial(_occurrences, min_chars=min_chars), "h1 long, h2 long, doc_id long")
-    frequent = cut(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).filter(F.col("n") >= min_docs))
-    n = frequent.count()
+    distinct = cut(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")))
+    n = distinct.count()
     n_shards = max(1, -(-n // shard_keys))
-    dealt = map_arrow(frequent.withColumn("doc_id", F.lit(None).cast("long")), partial(_with_shard, n_shards=n_shards, salts=1), "h1 long, h2 long, n long, keep long, doc_id long, shard long, salt long")
+    dealt = map_arrow(distinct.withColumn("doc_id", F.lit(None).cast("long")), partial(_with_shard, n_shards=n_shards), "h1 long, h2 long, n long, keep long, doc_id long, shard long, part long")
     return cut(dealt.groupBy("shard").applyInArrow(_build_shard, SHARDS)), n_shards, n
 
 
@@ -200,8 +213,8 @@ def _strip(b: pa.RecordBatch, dropped_of) -> pa.RecordBatch:
 
 
 class _Broadcast:
-    def __init__(self, shards, min_chars: int, n_shards: int):
-        self.shards, self.min_chars, self.n_shards, self.open = shards, min_chars, n_shards, None
+    def __init__(self, shards, min_chars: int, min_docs: int, n_shards: int):
+        self.shards, self.min_chars, self.min_docs, self.n_shards, self.open = shards, min_chars, min_docs, n_shards, None
 
     def __call__(self, h1, h2, rows, b):
         if self.open is None:
@@ -211,7 +224,7 @@ class _Broadcast:
         for s in np.unique(shard):
             if s in self.open:
                 mine = np.flatnonzero(shard == s)
-                known, keep = self.open[s].keepers(h1[mine], h2[mine])
+                known, keep = self.open[s].keepers(h1[mine], h2[mine], self.min_docs)
                 gone[mine[known]] = keep != ids[rows[mine[known]]]
         return gone
 
@@ -235,35 +248,57 @@ class _Listed:
             yield _strip(b, self)
 
 
-def _probe_shard(probes: pa.Table, shards: pa.Table) -> pa.Table:
-    if shards.num_rows == 0 or probes.num_rows == 0:
-        return probes.slice(0, 0).select(["h1", "h2", "doc_id"])
-    s = Shard(*(shards.column(c)[0].as_py() for c in ("index_salt", "perfect", "prints", "counts", "keep")))
-    h1, h2 = (probes.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
-    known, keep = s.keepers(h1, h2)
-    ids = probes.column("doc_id").fill_null(NO_ID).to_numpy()
-    gone = np.flatnonzero(known)[keep != ids[known]]
-    return probes.select(["h1", "h2", "doc_id"]).take(pa.array(gone))
+_ARRAYS = ("index_salt", "perfect", "prints", "counts", "keep")
+ASKING = "shard long, part long, probe int, index_salt long, perfect binary, prints binary, counts binary, keep binary, h1 long, h2 long, doc_id long"
+
+
+def _probe(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
+    """Rows by shard and part, the shard's arrays (probe 0) before its probes (1): the probes whose lines go."""
+    now, open_ = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy() for c in ("shard", "part", "probe")])
+        starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+        for i, j in zip(starts, np.append(starts[1:], b.num_rows), strict=True):
+            own = b.slice(i, j - i)
+            if keys[2, i] == 0:
+                now, open_ = tuple(keys[:2, i]), Shard(*(own.column(c)[0].as_py() for c in _ARRAYS))
+            elif now == tuple(keys[:2, i]):
+                h1, h2 = (own.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2"))
+                known, keep = open_.keepers(h1, h2, min_docs)
+                ids = own.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                gone = np.flatnonzero(known)[keep != ids[known]]
+                yield own.select(["h1", "h2", "doc_id"]).take(pa.array(gone))
+
+
+def _gone(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: int, min_docs: int) -> DataFrame:
+    """(doc_id, gone): the pairs that each document loses, from shards that stay where they are."""
+    spark = docs.sparkSession
+    parts = {r["shard"]: -(-r["asked"] // ASKED) for r in index.filter(F.col("asked") > ASKED).select("shard", "asked").collect()}  # one for ASKED lines at most
+    seen = map_arrow(docs.select(F.col("doc_id").cast("long"), binary("text")), partial(_occurrences, min_chars=min_chars), "h1 long, h2 long, doc_id long")
+    sent = map_arrow(seen, partial(_with_shard, n_shards=n_shards, parts=spark.sparkContext.broadcast(parts)), "h1 long, h2 long, doc_id long, shard long, part long")
+    sent = sent.select("shard", "part", F.lit(1).alias("probe"), F.lit(None).cast("long").alias("index_salt"), *[F.lit(None).cast("binary").alias(c) for c in _ARRAYS[1:]], "h1", "h2", "doc_id")
+    each = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("asked") / ASKED), F.lit(1)).cast("long") - 1)
+    there = index.select("shard", F.explode(each).alias("part"), F.lit(0).alias("probe"), *_ARRAYS, *[F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "doc_id")])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = there.unionByName(sent).repartition(n, "shard", "part").sortWithinPartitions("shard", "part", "probe")
+    pairs = map_arrow(met, partial(_probe, min_docs=min_docs), "h1 long, h2 long, doc_id long")
+    return pairs.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """docs with rewritten text, and n_lines and n_dropped beside (names that docs has are replaced)."""
     spark = docs.sparkSession
-    index, n_shards, n = build_index(docs, min_chars, min_docs, shard_keys)
+    index, n_shards, n = build_index(docs, min_chars, shard_keys)
     names = docs.columns
     rows = docs.select(F.struct(*[docs[c] for c in names if c != "text"], F.lit(1).alias(free_name(names, "_one"))).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), binary("text"))
     shape = f"_row {rows.schema['_row'].dataType.simpleString()}, kept binary, n_lines long, n_dropped long"
     if n * 24 <= broadcast_bytes:  # bytes of the arrays
-        shards = [tuple(bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in r) for r in index.collect()]
-        probe = _Broadcast(spark.sparkContext.broadcast(shards), min_chars, n_shards)
+        shards = [tuple(bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in r) for r in index.drop("asked").collect()]
+        probe = _Broadcast(spark.sparkContext.broadcast(shards), min_chars, min_docs, n_shards)
     else:
-        seen = map_arrow(docs.select(F.col("doc_id").cast("long"), binary("text")), partial(_occurrences, min_chars=min_chars), "h1 long, h2 long, doc_id long")
-        salts = max(1, -(-docs.count() // (n_shards * 20_000)))
-        sent = map_arrow(seen, partial(_with_shard, n_shards=n_shards, salts=salts), "h1 long, h2 long, doc_id long, shard long, salt long")
-        there = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        pairs = sent.groupBy("shard", "salt").cogroup(there.groupBy("shard", "salt")).applyInArrow(_probe_shard, "h1 long, h2 long, doc_id long")
-        gone = pairs.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
-        rows = eq_null_safe(rows, gone, ["doc_id"], "left")
+        rows = eq_null_safe(rows, _gone(docs, index, n_shards, min_chars, min_docs), ["doc_id"], "left")
         probe = _Listed(min_chars)
     out = map_arrow(rows, probe.run, shape)
     text = F.col("kept").cast("string").alias("text")
