@@ -60,13 +60,12 @@ def test_shard_with_equal_first_hashes():
     import pyarrow as pa
 
     t = pa.table({"h1": pa.array([5, 5, 6], pa.int64()), "h2": pa.array([1, 2, 1], pa.int64()), "n": pa.array([5, 6, 7], pa.int64()), "keep": pa.array([1, None, 3], pa.int64()), "shard": pa.array([0, 0, 0], pa.int64())})
-    row = line_dedup._build_shard(t).to_pylist()[0]
-    s = line_dedup.Shard(row["index_salt"], row["perfect"], row["prints"], row["counts"], row["keep"])
     asked = np.array([5, 5, 6, 5, 9], np.uint64), np.array([1, 2, 1, 3, 1], np.uint64)
-    known, keep = s.keepers(*asked, 5)
-    assert known.tolist() == [True, True, True, False, False] and keep.tolist() == [1, line_dedup.NO_ID, 3]
-    known, keep = s.keepers(*asked, 6)  # the counts tell
-    assert known.tolist() == [False, True, True, False, False] and keep.tolist() == [line_dedup.NO_ID, 3]
+    for min_docs, some in ((5, [True, True, True, False, False]), (6, [False, True, True, False, False]), (300, [False] * 5)):  # the counts tell
+        row = line_dedup._build_shard(t, min_docs).to_pylist()[0]
+        s = line_dedup.Shard(row["index_salt"], row["perfect"], row["prints"], row["counts"], row["keep"], min_docs)
+        known, keep = s.keepers(*asked)
+        assert known.tolist() == some and keep.tolist() == [k for k, x in zip([1, line_dedup.NO_ID, 3], some, strict=False) if x]
     assert row["asked"] == 18
 
 

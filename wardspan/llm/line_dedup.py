@@ -3,8 +3,9 @@
 1. Every eligible line (key of ``min_chars`` code points or more) of every document yields two independent 64-bit hashes;
    Spark counts documents and the largest id per pair, combining before the shuffle, so a line found everywhere is no hot key.
 2. All distinct pairs are dealt to shards. A shard's minimal perfect hash (levels of bit arrays, a key's place is the rank of its
-   bit) indexes compact arrays: fingerprint (the second hash), document count, id to keep.
-3. Documents probe the arrays: a line goes where the fingerprint is its own, the count is ``min_docs`` or more and the id isn't the
+   bit) indexes compact arrays: the document count, a byte a line, and of the lines whose count is ``min_docs`` or more the
+   fingerprint (the second hash) and the id to keep.
+3. Documents probe the arrays: a line goes where the count is high enough, the fingerprint is its own and the id isn't the
    document's. A line that isn't in the index hits some place too, where the fingerprint tells it apart.
    An index of up to ``broadcast_bytes`` goes to every executor; a larger one stays in shards, to which hashes of the lines
    (never lines) are sent, and only the pairs to drop come back. A shard that is asked more than ``ASKED`` times is sent to several
@@ -124,16 +125,25 @@ class PerfectHash:
 
 
 class Shard:
-    def __init__(self, salt: int, perfect: bytes, fingerprints: bytes, counts: bytes, keep: bytes):
+    """counts: of every place, up to what tells the frequent ones; fingerprints and ids to keep: of the frequent places, in order."""
+
+    def __init__(self, salt: int, perfect: bytes, fingerprints: bytes, counts: bytes, keep: bytes, min_docs: int):
         self.salt, self.perfect = salt, PerfectHash.from_bytes(perfect)
-        self.fingerprints, self.counts, self.keep = np.frombuffer(fingerprints, np.uint64), np.frombuffer(counts, np.uint32), np.frombuffer(keep, np.int64)
+        self.fingerprints, self.keep = np.frombuffer(fingerprints, np.uint64), np.frombuffer(keep, np.int64)
+        self.often = np.frombuffer(counts, _count_type(min_docs)) >= min_docs
+        self.rank = np.cumsum(self.often) - 1
 
-    def keepers(self, h1: np.ndarray, h2: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which hash pairs are in the index and in so many documents, and for those the id that keeps its lines."""
+    def keepers(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hash pairs are in enough documents, and for those the id that keeps its lines."""
         at = self.perfect.places(_salted(h1, h2, self.salt))
         known = at >= 0
-        known[known] = (self.fingerprints[at[known]] == h2[known]) & (self.counts[at[known]] >= min_docs)
-        return known, self.keep[at[known]]
+        known[known] = self.often[at[known]]
+        known[known] = self.fingerprints[self.rank[at[known]]] == h2[known]
+        return known, self.keep[self.rank[at[known]]]
+
+
+def _count_type(min_docs: int) -> type:
+    return np.uint8 if min_docs <= 255 else np.uint32
 
 
 def _salted(h1: np.ndarray, h2: np.ndarray, salt: int) -> np.ndarray:
@@ -158,32 +168,42 @@ def _with_shard(batches: Iterator[pa.RecordBatch], n_shards: int, parts=None) ->
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard), pa.array(part)], [*b.schema.names, "shard", "part"])
 
 
-def _build_shard(t: pa.Table) -> pa.Table:
+def _build_shard(t: pa.Table, min_docs: int) -> pa.Table:
     h1, h2 = (t.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
     salt = 0
     while len(np.unique(_salted(h1, h2, salt))) != len(h1):
         salt += 1
     perfect = PerfectHash.build(_salted(h1, h2, salt))
     at = perfect.places(_salted(h1, h2, salt))
-    prints, counts, keep = np.empty(len(h1), np.uint64), np.empty(len(h1), np.uint32), np.empty(len(h1), np.int64)
-    prints[at], counts[at] = h2, np.minimum(t.column("n").to_numpy(), 0xFFFFFFFF)
-    keep[at] = t.column("keep").fill_null(NO_ID).to_numpy()
-    asked = int(t.column("n").to_numpy().sum())
-    return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64()), "asked": pa.array([asked], pa.int64()), "index_salt": pa.array([salt], pa.int64()), "perfect": pa.array([perfect.to_bytes()], pa.binary()), "prints": pa.array([prints.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "keep": pa.array([keep.tobytes()], pa.binary())})
+    n = t.column("n").to_numpy()
+    order = np.empty(len(h1), np.int64)
+    order[at] = np.arange(len(h1))  # whose each place is
+    kind = _count_type(min_docs)
+    counts = np.minimum(n[order], np.iinfo(kind).max).astype(kind)
+    often = order[counts >= min_docs]
+    prints, keep = h2[often], t.column("keep").fill_null(NO_ID).to_numpy()[often]
+    asked = int(n.sum())
+    return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64()), "asked": pa.array([asked], pa.int64()), "often": pa.array([len(often)], pa.int64()), "index_salt": pa.array([salt], pa.int64()), "perfect": pa.array([perfect.to_bytes()], pa.binary()), "prints": pa.array([prints.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "keep": pa.array([keep.tobytes()], pa.binary())})
 
 
-SHARDS = "shard long, asked long, index_salt long, perfect binary, prints binary, counts binary, keep binary"
+SHARDS = "shard long, asked long, often long, index_salt long, perfect binary, prints binary, counts binary, keep binary"
 
 
-def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
-    """The written shards, their number and the number of distinct lines in them."""
+def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
+    """The written shards, their number and the bytes of their arrays, about."""
     small_batches(docs.sparkSession)
     seen = map_arrow(docs.select(F.col("doc_id").cast("long"), binary("text")), partial(_occurrences, min_chars=min_chars), "h1 long, h2 long, doc_id long")
     distinct = cut(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")))
     n = distinct.count()
     n_shards = max(1, -(-n // shard_keys))
     dealt = map_arrow(distinct.withColumn("doc_id", F.lit(None).cast("long")), partial(_with_shard, n_shards=n_shards), "h1 long, h2 long, n long, keep long, doc_id long, shard long, part long")
-    return cut(dealt.groupBy("shard").applyInArrow(_build_shard, SHARDS)), n_shards, n
+
+    def build(t: pa.Table) -> pa.Table:
+        return _build_shard(t, min_docs)
+
+    index = cut(dealt.groupBy("shard").applyInArrow(build, SHARDS))
+    (often,) = index.agg(F.sum("often")).first()
+    return index, n_shards, n * (1 + np.dtype(_count_type(min_docs)).itemsize) + (often or 0) * 16
 
 
 # Probing --------------------------------------------------------------------------------------------------------------
@@ -218,13 +238,13 @@ class _Broadcast:
 
     def __call__(self, h1, h2, rows, b):
         if self.open is None:
-            self.open = {x[0]: Shard(*x[1:]) for x in self.shards.value}
+            self.open = {x[0]: Shard(*x[1:], self.min_docs) for x in self.shards.value}
         ids = b.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
         gone, shard = np.zeros(len(h1), bool), _shard_of(h1, self.n_shards)
         for s in np.unique(shard):
             if s in self.open:
                 mine = np.flatnonzero(shard == s)
-                known, keep = self.open[s].keepers(h1[mine], h2[mine], self.min_docs)
+                known, keep = self.open[s].keepers(h1[mine], h2[mine])
                 gone[mine[known]] = keep != ids[rows[mine[known]]]
         return gone
 
@@ -263,10 +283,10 @@ def _probe(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Reco
         for i, j in zip(starts, np.append(starts[1:], b.num_rows), strict=True):
             own = b.slice(i, j - i)
             if keys[2, i] == 0:
-                now, open_ = tuple(keys[:2, i]), Shard(*(own.column(c)[0].as_py() for c in _ARRAYS))
+                now, open_ = tuple(keys[:2, i]), Shard(*(own.column(c)[0].as_py() for c in _ARRAYS), min_docs)
             elif now == tuple(keys[:2, i]):
                 h1, h2 = (own.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2"))
-                known, keep = open_.keepers(h1, h2, min_docs)
+                known, keep = open_.keepers(h1, h2)
                 ids = own.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 gone = np.flatnonzero(known)[keep != ids[known]]
                 yield own.select(["h1", "h2", "doc_id"]).take(pa.array(gone))
@@ -290,12 +310,12 @@ def _gone(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: int, min_
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """docs with rewritten text, and n_lines and n_dropped beside (names that docs has are replaced)."""
     spark = docs.sparkSession
-    index, n_shards, n = build_index(docs, min_chars, shard_keys)
+    index, n_shards, size = build_index(docs, min_chars, min_docs, shard_keys)
     names = docs.columns
     rows = docs.select(F.struct(*[docs[c] for c in names if c != "text"], F.lit(1).alias(free_name(names, "_one"))).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), binary("text"))
     shape = f"_row {rows.schema['_row'].dataType.simpleString()}, kept binary, n_lines long, n_dropped long"
-    if n * 24 <= broadcast_bytes:  # bytes of the arrays
-        shards = [tuple(bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in r) for r in index.drop("asked").collect()]
+    if size <= broadcast_bytes:
+        shards = [tuple(bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in r) for r in index.drop("asked", "often").collect()]
         probe = _Broadcast(spark.sparkContext.broadcast(shards), min_chars, min_docs, n_shards)
     else:
         rows = eq_null_safe(rows, _gone(docs, index, n_shards, min_chars, min_docs), ["doc_id"], "left")
