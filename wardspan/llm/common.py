@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import io
 import os
@@ -94,6 +95,18 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) ->
             spark.conf.set(key, str(most))
 
 
+def lean() -> None:
+    """Have this worker give freed memory back: arrays of a megabyte or more are mapped one by one (glibc would raise that bound
+    to 32 MB and keep what is freed below), and Arrow's pool keeps nothing that is unused."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    pa.default_memory_pool().release_unused()
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 1) -> Iterator[pa.Table]:
     """Tables of whole groups of a partition that is sorted by the key, of so many rows at least but for the last."""
     held: list[pa.RecordBatch] = []

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, cut, map_arrow, small_batches, table
+from .common import binary, cut, lean, map_arrow, small_batches, table
 
 ORDER, COMMON = 5, 150_000
 #: The most frequent contexts that a caller wants kept; None keeps all.
@@ -63,9 +63,14 @@ def words(text: bytes) -> list[bytes]:
     return [w for w in own if w] if b"" in own else own
 
 
-def _symbols(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(text: bytes | list[bytes]) -> bytes:
+    """A text's words by one blank each; they may be joined already."""
+    return text if isinstance(text, bytes) else b" ".join(text)
+
+
+def _symbols(texts: list[bytes] | list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Each text as ORDER pads, its bytes and the end; and where each begins, with the total last."""
-    joined = [b" ".join(t) for t in texts]
+    joined = [_joined(t) for t in texts]
     sizes = np.fromiter(map(len, joined), np.int64, len(joined))
     data = np.frombuffer(b"".join([bytes([START]) * ORDER + j + b"\0" for j in joined]), np.uint8).astype(np.int64)
     ends = np.cumsum(sizes + ORDER + 1)
@@ -103,10 +108,10 @@ def _merge(a, b):
     return code[first], np.add.reduceat(n, first)
 
 
-def _blocks(texts: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
+def _blocks(texts: list[bytes] | list[list[bytes]]) -> Iterator[list]:
     block, size = [], 0
     for t in texts:
-        own = sum(map(len, t)) + len(t)
+        own = len(_joined(t)) + 1
         if block and size + own > BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -142,8 +147,8 @@ def _gather(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
     """Three kinds of rows: texts with their block; counts of training words; a block's strings by shard, with training counts."""
     seen: Counter[bytes] = Counter()
     block, size = TaskContext.get().partitionId() << 32, 0
-    training: list[list[bytes]] = []
-    others: list[list[bytes]] = []
+    training: list[bytes] = []
+    others: list[bytes] = []
 
     def told_words():
         return _gathered(len(seen), word=pa.array(list(seen), pa.binary()), n=pa.array(list(seen.values()), pa.int64()))
@@ -165,21 +170,25 @@ def _gather(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
         counts = [_planes(n[i:j]) for i, j in zip(starts, ends, strict=True)]
         return _gathered(len(starts), block=pa.array([block] * len(starts), pa.int64()), shard=pa.array(shard[starts]), codes=pa.array(codes, pa.binary()), counts=pa.array(counts, pa.binary()))
 
+    lean()
     for b in batches:
-        texts = [words(t) for t in b.column("text").to_pylist()]
         held = b.column("held").to_pylist()
+        texts: list[bytes] = []
         lo = 0
-        for i, (t, h) in enumerate(zip(texts, held, strict=True)):
-            (others if h else training).append(t)
+        for i, (text, h) in enumerate(zip(b.column("text"), held, strict=True)):
+            own = words(text.as_py())
             if not h:
-                seen.update(t)
-            size += sum(map(len, t)) + len(t) + ORDER
-            if size > ASKING or i + 1 == len(texts):
-                yield _gathered(i + 1 - lo, block=pa.array([block] * (i + 1 - lo), pa.int64()), doc_id=b.column("doc_id").slice(lo, i + 1 - lo), text=pa.array([b" ".join(x) for x in texts[lo : i + 1]], pa.binary()))
-                lo = i + 1
+                seen.update(own)
+            texts.append(b" ".join(own))
+            (others if h else training).append(texts[-1])
+            size += len(texts[-1]) + 1 + ORDER
+            if size > ASKING or i + 1 == len(held):
+                yield _gathered(len(texts), block=pa.array([block] * len(texts), pa.int64()), doc_id=b.column("doc_id").slice(lo, len(texts)), text=pa.array(texts, pa.binary()))
+                texts, lo = [], i + 1
             if size > ASKING:
                 yield told_grams()
                 training, others, size, block = [], [], 0, block + 1
+                lean()
         if len(seen) > HELD:
             yield told_words()
             seen.clear()
@@ -294,6 +303,7 @@ class Shard:
 def _answer(batches: Iterator[pa.RecordBatch], low, kept) -> Iterator[pa.RecordBatch]:
     """Each block's strings of each shard: their code lengths, in their order."""
     for shard, t in _runs(batches, "shard"):
+        lean()
         model = Shard(_high(t) | low.value, kept.value)
         asked = [np.cumsum(_longs(x)) for x in t.column("codes").to_pylist()]
         code, inverse = np.unique(np.concatenate(asked), return_inverse=True)
@@ -391,7 +401,7 @@ class Trie:
         return out
 
 
-def _model_scores(texts: list[list[bytes]], answers: np.ndarray, shards: int) -> np.ndarray:
+def _model_scores(texts: list[bytes], answers: np.ndarray, shards: int) -> np.ndarray:
     """log10 of each text's probability; answers: of the distinct strings by shard, sorted."""
     found = []
     for part in _blocks(texts):
@@ -406,7 +416,7 @@ def _model_scores(texts: list[list[bytes]], answers: np.ndarray, shards: int) ->
         sizes, at = [], 0
         while at < len(symbol):
             sizes.append(at)
-            at += sum(map(len, texts[done])) + max(len(texts[done]) - 1, 0) + 1
+            at += len(texts[done]) + 1
             done += 1
         out.append(np.add.reduceat(symbol, sizes))
     return np.concatenate(out)
@@ -416,12 +426,14 @@ def _score(batches: Iterator[pa.RecordBatch], common, shards: int) -> Iterator[p
     """A block's answers come before its texts."""
     known = common.value
     for _, table_ in _runs(batches, "block"):
+        lean()
         mine = table_.filter(pc.is_valid(table_.column("text")))
         answers = np.frombuffer(b"".join(table_.column("logs").drop_null().to_pylist()), "<f4")
-        texts = [t.split(b" ") if t else [] for t in mine.column("text").to_pylist()]
+        texts = mine.column("text").to_pylist()
         scores = _model_scores(texts, answers, shards)
         n_tokens, n_common, logs, rare, rare_n = [], [], [], [], []
-        for t in texts:
+        for text in texts:
+            t = text.split(b" ") if text else []
             own = Counter(t)
             found = [known.get(w, 0) for w in own]
             times = np.fromiter(own.values(), np.int64, len(own))
