@@ -12,8 +12,8 @@ context, where the symbols already seen are excluded, down to equal shares of al
 
 So a symbol's code length depends on its string of ``ORDER + 1`` symbols only. Texts are gathered to blocks, and each block asks
 for its distinct strings. The counts are dealt to shards by the three bytes before the symbol, so a shard has all its contexts of
-three bytes and more; their number grows with the input. Shorter contexts (as many as the alphabet makes at most) are known to
-all. A shard answers the strings that blocks ask for, and the answers meet the blocks' texts again.
+three bytes and more; their number grows with the input. Shorter contexts (as many as the alphabet makes at most) are counted
+first and known to all. A shard answers the strings that blocks ask for, and the answers meet the blocks' texts again.
 
 A null or empty text has one token, its end. Without training documents counts are 0 and all symbols are alike. A null id is
 dealt by the hash of the empty text. Repeated rows count each. An empty table gives an empty result.
@@ -144,7 +144,8 @@ def _gathered(size: int, **columns: pa.Array) -> pa.RecordBatch:
 
 
 def _gather(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Three kinds of rows: texts with their block; counts of training words; a block's strings by shard, with training counts."""
+    """Four kinds of rows: texts with their block; counts of training words; a block's strings by shard, with training counts; and
+    (of no shard) the strings of LOW + 2 symbols that are in its training texts, which are few, with their counts."""
     seen: Counter[bytes] = Counter()
     block, size = TaskContext.get().partitionId() << 32, 0
     training: list[bytes] = []
@@ -161,6 +162,9 @@ def _gather(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
             code, n = _grams(part)
             grams = _merge(grams, (code, np.zeros_like(n)))
         code, n = grams
+        if (n > 0).any():
+            few, times, _ = _shorter(code[n > 0], n[n > 0], LOW + 1)
+            yield _gathered(1, codes=pa.array([_planes(np.diff(few, prepend=0))], pa.binary()), counts=pa.array([_planes(times)], pa.binary()))
         shard = _shard(code, shards)
         order = np.argsort(shard, kind="stable")
         code, n, shard = code[order], n[order], shard[order]
@@ -168,7 +172,7 @@ def _gather(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
         ends = np.append(starts[1:], len(code))
         codes = [_planes(np.diff(code[i:j], prepend=0)) for i, j in zip(starts, ends, strict=True)]
         counts = [_planes(n[i:j]) for i, j in zip(starts, ends, strict=True)]
-        return _gathered(len(starts), block=pa.array([block] * len(starts), pa.int64()), shard=pa.array(shard[starts]), codes=pa.array(codes, pa.binary()), counts=pa.array(counts, pa.binary()))
+        yield _gathered(len(starts), block=pa.array([block] * len(starts), pa.int64()), shard=pa.array(shard[starts]), codes=pa.array(codes, pa.binary()), counts=pa.array(counts, pa.binary()))
 
     lean()
     for b in batches:
@@ -186,7 +190,7 @@ def _gather(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
                 yield _gathered(len(texts), block=pa.array([block] * len(texts), pa.int64()), doc_id=b.column("doc_id").slice(lo, len(texts)), text=pa.array(texts, pa.binary()))
                 texts, lo = [], i + 1
             if size > ASKING:
-                yield told_grams()
+                yield from told_grams()
                 training, others, size, block = [], [], 0, block + 1
                 lean()
         if len(seen) > HELD:
@@ -195,7 +199,7 @@ def _gather(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
     if seen:
         yield told_words()
     if training or others:
-        yield told_grams()
+        yield from told_grams()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
@@ -244,12 +248,18 @@ def _high(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def _levels(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """(k, gram, n, m) of contexts of LOW bytes, or of all of that or more."""
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, gram, n, m) of contexts of LOW bytes and more."""
     for _, t in _runs(batches, "shard"):
         for k, (code, n, m) in _high(t).items():
-            if every or k == LOW:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code), pa.array(n), pa.array(m)], ["k", "gram", "n", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code), pa.array(n), pa.array(m)], ["k", "gram", "n", "m"])
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n) of packed strings."""
+    for b in batches:
+        for codes, counts in zip(b.column("codes"), b.column("counts"), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(_longs(codes.as_py()))), pa.array(_longs(counts.as_py()))], ["gram", "n"])
 
 
 class Shard:
@@ -471,9 +481,10 @@ def _common(gathered: DataFrame, ends: int) -> tuple[DataFrame, dict[bytes, int]
     return word, dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)), int(total or 0) + ends, int(kinds) + (ends > 0)
 
 
-def _low(levels: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _low(gathered: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Strings with contexts of LOW bytes and less: as many as the alphabet makes at most."""
-    got = levels.filter(F.col("k") == LOW).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).orderBy("gram").toArrow()
+    few = map_arrow(gathered.filter("shard is null and codes is not null").select("codes", "counts"), _few, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    got = few.groupBy(F.col("gram").bitwiseAND((1 << BITS * (LOW + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).orderBy("gram").toArrow()
     out = {LOW: tuple(got.column(c).to_numpy().astype(np.int64) for c in ("gram", "n", "m"))}
     for k in range(LOW - 1, -1, -1):
         out[k] = _shorter(out[k + 1][0], out[k + 1][1], k)
@@ -499,8 +510,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, Trie, dict[bytes, int], int, int,
     """Of tables that fit one machine: word counts of the training rows (doc_id, text), the automaton, the common words, N, V, ends."""
     gathered, _, ends = _gather_all(docs)
     word, common, n, v = _common(gathered, ends)
-    levels = cut(map_arrow(_by_shard(gathered, "codes", "counts"), partial(_levels, every=True), LEVELS))
-    every = _every(levels, _low(levels))
+    every = _every(cut(map_arrow(_by_shard(gathered, "codes", "counts"), _levels, LEVELS)), _low(gathered))
     kept = (every if NODES is None else every.join(F.broadcast(_most_frequent(every)), ["k", "c"], "left_semi")).toArrow()
     return word, Trie(*[kept.column(x).to_numpy().astype(np.int64) for x in ("k", "c", "s", "n", "m")]), common, n, v, ends
 
@@ -510,9 +520,9 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     gathered, shards, ends = _gather_all(docs)
     word, common, n, v = _common(gathered, ends)
-    levels = cut(map_arrow(_by_shard(gathered, "codes", "counts"), partial(_levels, every=NODES is not None), LEVELS))
-    low, kept = _low(levels), None
+    low, kept = _low(gathered), None
     if NODES is not None:
+        levels = cut(map_arrow(_by_shard(gathered, "codes", "counts"), _levels, LEVELS))
         top = _most_frequent(_every(levels, low)).toArrow()
         kept = top.column("c").to_numpy().astype(np.int64) << 4 | top.column("k").to_numpy().astype(np.int64)
     send = spark.sparkContext.broadcast
