@@ -10,8 +10,9 @@ equal digests. Triplets that reach over syllables tell texts of one language apa
 streams its rows with a look-ahead of one, and what crosses from one partition to the next are a last and a first document.
 
 A null text is empty; an empty text's digest is all zero. Invalid UTF-8 counts as replacement characters. Null ids come first;
-rows that repeat an id follow each other in the order of their texts. A single document is its own next one. An empty table
-gives an empty result.
+rows that repeat an id follow each other in the order of their texts. A single document is its own next one. Texts are read
+whole; a long one takes memory of some twenty times its size in its worker. Other columns are not read. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -173,3 +174,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir):
     """op9: digests of every document and its edited text, and their likeness to each other and to the next document's."""
     return with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def edited_texts(spark, sf_dir):
+    """A side query of op9: the lengths and the edited texts' digests, which SQL can tell too."""
+    return query(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next FROM documents
+)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, length(t) - length(t) // 4) || left(next, length(t) // 4)) AS edited_sha256 FROM d
+"""

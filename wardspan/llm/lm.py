@@ -16,7 +16,12 @@ three bytes and more; their number grows with the input. Shorter contexts (as ma
 first and known to all. A shard answers the strings that blocks ask for, and the answers meet the blocks' texts again.
 
 A null or empty text has one token, its end. Without training documents counts are 0 and all symbols are alike. A null id is
-dealt by the hash of the empty text. Repeated rows count each. An empty table gives an empty result.
+dealt by the hash of the empty text. Repeated rows count each. Words equally frequent are common in the order of their bytes. A
+text is read whole and is never parted between blocks; a long one takes memory of some thirty times its size in its worker. Other
+columns are not read. An empty table gives an empty result.
+
+The base line gives every unknown word one and the same share, however it is spelled; the model spells it. Where many words are
+unknown (small tables) the base line is the higher one for that reason.
 """
 
 from __future__ import annotations

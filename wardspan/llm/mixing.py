@@ -6,7 +6,8 @@ id (about ``BUCKET_ROWS`` or the square root of the source's rows in each), so t
 rows are ordered by size, up and down in turn, which keeps the words taken close to the target.
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered last; a null id is an id of its own. Rows that
-repeat count each. A source whose texts have no words has target 0 and takes nothing. An empty table gives an empty result.
+repeat count each. A source whose texts have no words has target 0 and takes nothing. Texts are read once, to count their words,
+however long; rows of equal size are ordered by hashes. An empty table gives an empty result.
 Other columns pass through :func:`mix` unchanged, whatever they are named.
 """
 

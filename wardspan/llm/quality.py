@@ -11,9 +11,11 @@ The sample is the ``SAMPLE`` labelled rows of either class with the smallest has
 out; projection and vectors thus have a fixed size (about 2 MB), and that is all that is broadcast. Everything else covers all
 documents. Labels, lang, source and doc_id are no inputs of a score.
 
-A null or empty text has no terms; it gets the share of label 1 among the labels. Without labels of both classes the score is
-that share, or 0.5 without labels. Null labels are left out; of labels that repeat an id the smallest counts. A null id is
-held out by the hash of the empty text. Repeated rows count each. An empty table gives an empty result.
+A null or empty text has no terms; it gets the share of label 1 among the labels, 0.5 at most, so nothing of no content is
+predicted good. Without labels of both classes the score of other texts is that share, or 0.5 without labels. Null labels are left out; of labels that repeat an id the smallest counts. A null id is
+held out by the hash of the empty text. Equally near neighbours vote in the order of the sample. Texts are read whole; a long
+one takes memory of some thirty times its size in its worker. Repeated rows count each. Other columns pass through
+:func:`classify`, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -141,7 +143,7 @@ class Model:
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-6) ** SHARPNESS * self.votes[near]
             out[i : i + 512] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
-        out[counts.sum(axis=1) == 0] = self.share
+        out[counts.sum(axis=1) == 0] = min(self.share, 0.5)  # nothing speaks for it
         return np.clip(out, 0.0, 1.0)
 
 

@@ -15,9 +15,13 @@ QUERIES = {
     "op8_secret_links": secrets.query,
     "op9_quartile_digest": digest.query,
     "op10_source_mixing": mixing.query,
+    "secret_counts": secrets.counts,
+    "digest_edited_texts": digest.edited_texts,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
+    "secret_counts": secrets.COUNTS,
+    "digest_edited_texts": digest.EDITED,
 }
