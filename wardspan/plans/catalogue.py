@@ -279,7 +279,7 @@ def chk_required(spark, sf_dir):
     return by_code(validated(spark, sf_dir, "Customer", segment=F.expr("case when c_custkey % 4 <> 0 then c_mktsegment end"))).filter("code = 'E_MISSING_REQUIRED'")
 
 
-MIXED = 'schema "mixed" type M { k String primary  a Integer  b Integer  c Float  d Boolean  words List<String[1, 6]>[_, 2] }'
+MIXED = 'schema "mixed" type M { k String primary  a Integer  b Integer  c Float  d Boolean  words List<String[1, 4]>[_, 2] }'
 
 
 def mixed(spark, sf_dir, **columns: str | Column) -> DataFrame:
@@ -301,7 +301,7 @@ def chk_boolean(spark, sf_dir):
     return issue_rows(mixed(spark, sf_dir, d=said)).filter("property = 'd'").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("list_issue_index", "SELECT p_partkey::BIGINT AS k, '$.words[' || (CASE WHEN length(w[1]) > 6 THEN 0 ELSE 1 END) || ']' AS path FROM (SELECT p_partkey, string_split(p_name, ' ')[1:2] AS w FROM part) WHERE length(w[1]) > 6 OR length(w[2]) > 6")
+@add("list_issue_index", "SELECT p_partkey::BIGINT AS k, '$.words[' || (CASE WHEN length(w[1]) > 4 THEN 0 ELSE 1 END) || ']' AS path FROM (SELECT p_partkey, string_split(p_name, ' ')[1:2] AS w FROM part) WHERE length(w[1]) > 4 OR length(w[2]) > 4")
 def list_issue_index(spark, sf_dir):
     out = mixed(spark, sf_dir, words=F.slice(F.split("p_name", " "), 1, 2))
     return out.select(F.col("p_partkey").alias("k"), F.explode("_issues").alias("i")).select("k", F.col("i.path").alias("path"))
