@@ -50,10 +50,10 @@ def run_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, fixes nondeterminism."""
     path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if codec is None else df.write.option("compression", codec)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

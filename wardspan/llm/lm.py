@@ -475,7 +475,7 @@ def _gather_all(docs: DataFrame) -> tuple[DataFrame, int, int]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary("text"), held_out(F.col("doc_id")).alias("held"))
     size, ends = rows.agg(F.sum(F.octet_length("text")), F.count(F.when(~F.col("held"), 1))).first()
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // SHARD_BYTES)
-    return cut(map_arrow(rows, partial(_gather, shards=shards), GATHERED)), shards, ends
+    return cut(map_arrow(rows, partial(_gather, shards=shards), GATHERED), "zstd"), shards, ends
 
 
 def _by_shard(gathered: DataFrame, *columns: str) -> DataFrame:
