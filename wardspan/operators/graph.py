@@ -158,7 +158,9 @@ def build_graph(inputs: dict[str, Input], schema: Schema, *, allow_unknown: bool
         lost = spark.createDataFrame([], REFERENCE)
         return Graph(schema, accepted, rejected, {}, none, spark.createDataFrame([], "type string, key string, nth int, instance string, conflict string, code string"), lost.drop("required", "reason"), lost, found)
     all_nodes, left_over = reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, repeated)
-    edges, unresolved = resolve(reduce(DataFrame.unionByName, references), all_nodes)
+    wanted = {schema.type_id(r.target) for name in accepted for r in schema.find(name).all_relations if not r.composition}
+    targets = [n for name, n in zip(accepted, nodes, strict=True) if schema.type_id(name) in wanted]  # the others are not read again
+    edges, unresolved = resolve(reduce(DataFrame.unionByName, references), reduce(DataFrame.unionByName, targets or [nodes[0].limit(0)]))
     own = left_over.select("code", "type", "key", F.lit(None).cast("string").alias("relation"), F.col("instance").alias("detail"))
     missing = completeness(unresolved).select("code", "type", "key", "relation", F.col("reason").alias("detail"))
     return Graph(schema, accepted, rejected, {n: inputs[n].columns for n in accepted}, all_nodes, left_over.filter("code = 'E_DUPLICATE_PK'").drop("code"), edges, unresolved, found.unionByName(own).unionByName(missing))
