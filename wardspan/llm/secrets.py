@@ -11,8 +11,9 @@ co-occur within ``SCOPE`` code points of the same text:
 The interval join of parts is a sweep: over a text's spans in order of their start, the span that ends last before and the one
 that starts first after tell the nearest part of each role, so no pairs are made and a text of n spans costs n log n. Every span
 is reported with the nearest part of each complementary role in scope: its links. Of parts equally near, the one before counts;
-spans that begin alike are ordered by end. A candidate that overlaps a base span or lies in an endpoint is none. Only numbers
-are kept between the steps, never texts; a text's spans are all that meets in one group, however long the text.
+spans that begin alike are ordered by end. A candidate that overlaps a base span is none, nor is a login or an opaque string
+that lies in an endpoint; a short one there (a parameter of a URL) counts. Only numbers are kept between the steps, never texts;
+a text's spans are all that meets in one group, however long the text.
 
 A null or empty text has no spans. Repeated rows count each (rows are told apart by a number of their own, fixed by writing
 the spans once). An empty table gives an empty result. Other columns are not needed and not returned.
@@ -81,8 +82,8 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "login": _matches(text, LOGIN, _always("login")),
     }
     first = numbered.select("row", "doc_id", "_text", *[c.alias(k) for k, c in patterns.items()])
-    # Endpoints matter beside a login or an opaque string only.
-    ends = F.when(F.col("login").isNotNull() | F.col("opaque").isNotNull(), _matches(text, ENDPOINT, _always("endpoint")))
+    # Endpoints are never reported alone: they matter beside any other match.
+    ends = F.when(F.coalesce(*patterns).isNotNull(), _matches(text, ENDPOINT, _always("endpoint")))
     found = cut(first.select("row", "doc_id", *patterns, ends.alias("endpoint")))
     lists = F.filter(F.array(*[F.struct(F.lit(i).alias("by"), F.col(k).alias("all")) for i, k in enumerate([*patterns, "endpoint"])]), lambda x: x["all"].isNotNull())
     each = found.select("row", F.explode(lists).alias("p")).select("row", "p.by", F.posexplode("p.all").alias("at", "m"))
@@ -118,7 +119,8 @@ def _linked(spans: DataFrame, scope: int) -> DataFrame:
         return F.when(of(for_kinds) & near(role, scope), F.when(first, sides[0]).otherwise(sides[1])).alias(role)
 
     swept = sweep(spans, {"base": kind < BASE, "endpoint": of(["endpoint"])})
-    alone = ~near("base", -1) & ~F.coalesce(F.col("endpoint_before.end") > F.col("start"), F.lit(False))
+    outside = ~F.coalesce(F.col("endpoint_before.end") > F.col("start"), F.lit(False))
+    alone = ~near("base", -1) & (of(["short"]) | outside)
     parts = swept.filter((kind < BASE) | of(["endpoint"]) | alone)
     parts = sweep(parts, {"identifier": of(IDENTIFIERS), "secret": of(SECRETS)})
     weak_secret = of(["opaque", "short"]) & near("identifier", scope)
